@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .minhash_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 
@@ -22,8 +23,16 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.toxicity(docs, model, out_col="score")
+    predicted = (F.col("score") >= F.lit(toxicity.DEFAULT_THRESHOLD)).cast("int")
+    return out.select("doc_id", (toxicity.part("doc_id") == 2).alias("held_out"), "score", predicted.alias("predicted"), F.col("rejected").alias("over_language_threshold"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_minhash_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op5_minhash_dedup, op7_toxicity)}
 
 
 #: Words as the contracts define them, for DuckDB.
