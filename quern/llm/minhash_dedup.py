@@ -144,7 +144,7 @@ def _within_tasks(spark, texts: DataFrame, groups: DataFrame, candidates: DataFr
     # A sweep passes over the group's shingles once for each set: members bound the passes, shingles the memory.
     large = sizes.where(F.col("total") > task_shingles).select("grp", F.ceil(F.col("total") / (task_shingles / 2)).cast("int").alias("blocks"))
     large = scratch.save(large, "large")
-    rows = texts.join(groups.join(large.select("grp"), "grp", "left_anti").select(F.col("rep").alias("id"), "grp"), "id")
+    rows = texts.join(groups.join(large.select("grp"), "grp", "left_anti").select(F.col("rep").alias("id"), "grp").hint("merge"), "id")
     labels = rows.groupBy("grp").applyInArrow(lambda t: _settle(t, percent, shingle), LABELS).distinct()
     if large.isEmpty():
         return labels
