@@ -1,0 +1,53 @@
+"""From raw documents to packed training sequences: toxicity, MinHash near-dedup, substring dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and reread as the
+docs of the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import scratch, toxicity
+from quern.llm.minhash_dedup import near_duplicates
+from quern.llm.packing import packed_sequences
+from quern.llm.substring_dedup import substring_dedup
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold of their language; the classifier learns from this stage's input."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(docs, model, out_col="score", reject_col="rejected").where(~F.col("rejected")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; documents without words all stay."""
+    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 35 words and more that occur anywhere else; other characters stay as they are."""
+    out = substring_dedup(docs, window=35, keep_layout=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of the permitted lengths, with the ids and spans of the documents in each."""
+    return packed_sequences(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("near_dedup", drop_near_duplicates), ("substring_dedup", cut_repeated_passages), ("packing", pack_sequences)]
+
+#: A trained classifier and a heuristic packing can't be stated in SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.save(docs, name)
+    return docs

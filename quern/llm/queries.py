@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .minhash_dedup import near_duplicates
+from .packing import CAPACITIES, best_fit_packing
 from .substring_dedup import substring_dedup
 
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), CAPACITIES)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
@@ -31,8 +36,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.part("doc_id") == 2).alias("held_out"), "score", predicted.alias("predicted"), F.col("rejected").alias("over_language_threshold"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_minhash_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op5_minhash_dedup, op7_toxicity)}
 
 
 #: Words as the contracts define them, for DuckDB.
