@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share of label 1.
     """
     marks = labels.select(own(id_col).alias("id"), own(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    named = docs.select(own(id_col).alias("id"), own(text_col).alias("text"), (own(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang"))
+    named = docs.select(own(id_col).alias("id"), F.octet_length(own(text_col)).alias("size"))
     usable = named.join(marks.where(part("id") != 2), "id")
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
@@ -127,14 +127,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model.weights[:] = 0
         model.shift = float(np.log(prior / (1 - prior)))
         return model
-    sized = usable.select("id", "y", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h"))
+    sized = usable.select("id", "y", "size", F.xxhash64("id").alias("h"))
     chosen, left = [], max_bytes
     both = [iter(sized.where(F.col("y") == y).orderBy("h").limit(rows_per_class).collect()) for y in (0, 1)]
     for pair in zip(*both, strict=False):  # alternate, so that the byte bound takes from both labels
-        chosen += [r["id"] for r in pair if (left := left - (r["size"] or 0)) >= 0]
-    chosen += [r["id"] for rows in both for r in rows if (left := left - (r["size"] or 0)) >= 0]
-    picked = docs.sparkSession.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField("id", usable.schema["id"].dataType)]))
-    rows = usable.join(F.broadcast(picked), "id").withColumn("part", part("id")).orderBy(F.xxhash64("id"), "text").toArrow()  # at most 2 * rows_per_class ids
+        chosen += [(r["id"], r["y"]) for r in pair if (left := left - (r["size"] or 0)) >= 0]
+    chosen += [(r["id"], r["y"]) for rows in both for r in rows if (left := left - (r["size"] or 0)) >= 0]
+    picked = docs.sparkSession.createDataFrame(sorted(set(chosen)), T.StructType([T.StructField("id", usable.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
+    lang = own(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(own(id_col).alias("id"), own(text_col).alias("text"), lang.alias("lang"))
+    rows = texts.join(F.broadcast(picked), "id").withColumn("part", part("id")).orderBy(F.xxhash64("id"), "text").toArrow()  # at most 2 * rows_per_class ids
     ids, sizes = [], []
     for c in words.chunks(rows["text"], lower=True):
         i, n = features(c)
