@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .embedding_dedup import embedding_duplicates
 from .minhash_dedup import near_duplicates
 from .packing import CAPACITIES, best_fit_packing
 from .substring_dedup import substring_dedup
@@ -24,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -43,7 +48,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op5_minhash_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op7_toxicity)}
 
 
 #: Words as the contracts define them, for DuckDB.

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is bounded: at most rows_per_class rows of each label, in the order of a hash of the id, until their texts
     have max_bytes together; whole texts, none cut. Several labels of one id count as their maximum; null labels, null
-    ids and ids without a document are ignored. Without rows of both labels the model scores every text alike, by the
+    ids and ids without a document are ignored. Of rows that share an id the least text is taken. Without rows of both labels the model scores every text alike, by the
     share of label 1.
     """
     marks = labels.select(own(id_col).alias("id"), own(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = docs.sparkSession.createDataFrame(sorted(set(chosen)), T.StructType([T.StructField("id", usable.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
     lang = own(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(own(id_col).alias("id"), own(text_col).alias("text"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(picked), "id").withColumn("part", part("id")).orderBy(F.xxhash64("id"), "text").toArrow()  # at most 2 * rows_per_class ids
+    single = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("row"))  # at most 2 * rows_per_class ids
+    rows = single.select("id", "y", "row.*").withColumn("part", part("id")).orderBy(F.xxhash64("id")).toArrow()
     ids, sizes = [], []
     for c in words.chunks(rows["text"], lower=True):
         i, n = features(c)
