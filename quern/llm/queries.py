@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .embedding_dedup import embedding_duplicates
 from .minhash_dedup import near_duplicates
+from .neighbours import nearest_neighbours
 from .packing import CAPACITIES, best_fit_packing
 from .substring_dedup import substring_dedup
 
@@ -33,6 +34,11 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -48,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_nearest_neighbours, op7_toxicity)}
 
 
 #: Words as the contracts define them, for DuckDB.
