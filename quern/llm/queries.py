@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .embedding_dedup import embedding_duplicates
+from .html_text import extract_text
 from .minhash_dedup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import CAPACITIES, best_fit_packing
@@ -47,6 +48,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.part("doc_id") == 2).alias("held_out"), "score", predicted.alias("predicted"), F.col("rejected").alias("over_language_threshold"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -54,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_nearest_neighbours, op7_toxicity)}
+    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_nearest_neighbours, op7_toxicity, op8_html_text)}
 
 
 #: Words as the contracts define them, for DuckDB.
