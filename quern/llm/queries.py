@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, toxicity
+from . import chat, pieces, scratch, token_counts, toxicity
 from .embedding_dedup import embedding_duplicates
 from .html_text import extract_text
 from .minhash_dedup import near_duplicates
@@ -31,6 +32,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+#: Where the public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and their way back; a word mark inside a text comes back as a space, as in the library."""
+    vocabulary = pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, vocabulary, ids_col="ids")
+    back = pieces.decode(coded, vocabulary, ids_col="ids", text_col="decoded")
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("restored"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -56,6 +71,26 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents, the same batch once more, documents labelled toxic deleted, and documents
+    labelled of low quality counted again with an end mark."""
+    ranks = token_counts.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    counted = scratch.save(token_counts.count_tokens(table(spark, sf_dir, "documents"), ranks), "counted")
+    versions = F.explode(F.array(F.struct(F.lit("byte_bpe_50k").alias("version"), F.col("tokens").alias("n")), F.struct(F.lit("words").alias("version"), F.col("words").alias("n"))))
+    every = counted.select("doc_id", "source", "lang", versions.alias("v")).select("doc_id", "v.version", "source", "lang", F.col("v.n").alias("tokens"))
+    labels = table(spark, sf_dir, "labels")
+    change = lambda df, op, add=0: df.select("doc_id", "version", "source", "lang", (F.col("tokens") + add).alias("tokens"), F.lit(op).alias("op"), F.lit(0).cast("long").alias("seq"))
+    rollup = token_counts.Rollup(spark, f"{scratch.folder(spark)}/quern-rollup-{uuid.uuid4().hex}")
+    scratch.keep(rollup.folder, spark)
+    for _ in range(2):
+        rollup.commit("all documents", change(every, "upsert"))
+    rollup.commit("toxic documents", change(every.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id"), "delete"))
+    low = labels.where("quality = 0 and toxic <> 1").select("doc_id").distinct()
+    rollup.commit("low quality counted again", change(every.where("version = 'byte_bpe_50k'").join(low, "doc_id"), "upsert", 1))
+    scratch.drop(counted)
+    return rollup.totals().withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
+
+
 #: A conversation made of nothing but control strings.
 HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -90,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_nearest_neighbours, op7_toxicity, op8_html_text, op10_chat_format)}
+    return {f.__name__: f for f in (pipeline, op1_best_fit_packing, op2_substring_dedup, op3_sentencepiece, op4_embedding_dedup, op5_minhash_dedup, op6_nearest_neighbours, op7_toxicity, op8_html_text, op9_token_counts, op10_chat_format)}
 
 
 #: Words as the contracts define them, for DuckDB.

@@ -29,6 +29,11 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(path: str, spark: SparkSession) -> None:
+    """Counts a folder among those that sweep() removes when the driver ends."""
+    _written[path] = spark
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes what save() wrote for these frames, once nothing reads them any more."""
     for df in frames:
