@@ -115,22 +115,24 @@ def format_branches(messages: DataFrame, top: int | None = None) -> DataFrame:
     ids = whole.select(*node, "parent", "score")
     parents = ids.select("none", "conv", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     step = ids.join(parents, [*key, "parent"], "left").select(*node, F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).alias("depth"))
-    powers, total = [scratch.save(step, "power")], ids.count()
-    while not powers[-1].where("up is not null").isEmpty():
+    step, total = scratch.save(step, "step"), ids.count()
+    # Only messages that haven't reached their root take part in the next join.
+    rooted, powers, active = step.where("up is null"), [], step.where("up is not null")
+    while not active.isEmpty():
         if 1 << len(powers) > 2 * total:
             raise ValueError("parents form a circle")
-        low = powers[-1]
-        high = low.select(*key, F.col("node").alias("up"), F.col("up").alias("over"), F.col("score").alias("more"), F.col("depth").alias("deeper"))
-        joined = low.join(high, [*key, "up"], "left")
-        powers.append(scratch.save(joined.select(*node, F.col("over").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")), "power"))
-    answered = powers[0].where("up is not null").select(*key, F.col("up").alias("node")).distinct()
-    leaves = powers[-1].join(answered, node, "left_anti").select(*key, F.col("node").alias("leaf"), "score", "depth")
+        powers.append(active)
+        high = active.union(rooted).select(*key, F.col("node").alias("up"), F.col("up").alias("over"), F.col("score").alias("more"), F.col("depth").alias("deeper"))
+        step = scratch.save(active.join(high, [*key, "up"]).select(*node, F.col("over").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth")), "power")
+        rooted, active = rooted.union(step.where("up is null")), step.where("up is not null")
+    answered = ids.select(*key, F.col("parent").alias("node")).distinct()
+    leaves = rooted.join(answered, node, "left_anti").select(*key, F.col("node").alias("leaf"), "score", "depth")
     order = Window.partitionBy(*key).orderBy(F.desc("score"), "leaf")
     leaves = leaves.withColumn("rank", F.row_number().over(order))
     leaves = leaves if top is None else leaves.where(F.col("rank") <= top)
     on_path = leaves.select(*key, "leaf", "rank", "score", F.col("leaf").alias("node"), "depth")
-    for k in range(len(powers) - 2, -1, -1):
-        jump = powers[k].where("up is not null").select(*node, "up")
+    for k in range(len(powers) - 1, -1, -1):
+        jump = powers[k].select(*node, "up")
         on_path = on_path.union(on_path.join(jump, node).select(*key, "leaf", "rank", "score", F.col("up").alias("node"), F.col("depth") - (1 << k)))
         on_path = scratch.save(on_path, "paths")
     turns = on_path.join(whole.select(*node, "role", "text"), node).groupBy(*key, "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
