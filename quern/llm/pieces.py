@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -34,8 +35,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Code points of a matrix of units, units remembered by a worker, and the length from which a unit is encoded by itself.
+#: Code points of a matrix of units, units remembered by a worker (300 bytes each), and the length from which a unit is
+#: encoded by itself.
 MATRIX, REMEMBERED, LONG = 200_000, 400_000, 256
+#: Text bytes whose units exist as Python strings at once: some 20 bytes for each.
+TEXT_BYTES = 4 << 20
 FLAG_BITS = 20
 BASE, NONE = words.FIRST.base, np.float32(-np.inf)
 
@@ -276,13 +280,22 @@ class Encoder:
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """Texts of id lists: pieces joined, word marks as spaces, without the space of the dummy prefix."""
         raw, out = self.v.raw, []
-        every = ids.tolist()
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            text = b"".join([raw[i] for i in every[a:b]]).decode("utf-8", "replace")
+            text = b"".join([raw[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace")
             out.append(text[1:] if self.v.dummy_prefix and text.startswith(" ") else text)
         return out
 
 
+def _slices(batch: pa.RecordBatch, values: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of a text column, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy())
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 _last: list[Encoder] = []
 
 
@@ -306,8 +319,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _remembering(shared.value)
         for b in batches:
-            ids, bounds = encoder.encode(b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["row"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["row", "ids"])
+            for part in _slices(b, b["text"], TEXT_BYTES):
+                ids, bounds = encoder.encode(part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([part["row"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["row", "ids"])
 
     out = inner.mapInArrow(run, schema)
     return out.select(*unpacked("row", names), out["ids"].alias(ids_col))
