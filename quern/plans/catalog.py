@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from quern.plans import aqp, relational, tpch
+
 FLAGSHIP = "q1_swr_with_ci"
+MODULES = (aqp, relational, tpch)
 
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
