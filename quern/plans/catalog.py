@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import aqp, relational, tpch
+from quern.plans import aqp, relational, scalar, tpch
 
 FLAGSHIP = "q1_swr_with_ci"
-MODULES = (aqp, relational, tpch)
+MODULES = (aqp, relational, scalar, tpch)
 
 
 def queries() -> dict:
