@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import aqp, relational, scalar, tpch
+from quern.plans import aqp, relational, scalar, tpch, updates
 
 FLAGSHIP = "q1_swr_with_ci"
-MODULES = (aqp, relational, scalar, tpch)
+MODULES = (aqp, relational, scalar, tpch, updates)
 
 
 def queries() -> dict:
