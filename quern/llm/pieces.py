@@ -35,11 +35,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Code points of a matrix of units, units remembered by a worker (300 bytes each), and the length from which a unit is
+#: Code points of a matrix of units, units remembered by a worker (200 bytes each), and the length from which a unit is
 #: encoded by itself.
-MATRIX, REMEMBERED, LONG = 200_000, 400_000, 256
+MATRIX, REMEMBERED, LONG = 100_000, 200_000, 256
 #: Text bytes whose units exist as Python strings at once: some 20 bytes for each.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 FLAG_BITS = 20
 BASE, NONE = words.FIRST.base, np.float32(-np.inf)
 
@@ -124,49 +124,66 @@ def load(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers units between batches, up to a bound."""
+    """Encodes texts; remembers units between batches, up to a bound, as numbers into one flat array of ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
+        self.v = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the bounds of each text's."""
         cut, normal = self.v.unit.findall, self.v.normal
         lists = [cut(normal(t)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*lists) - self.known.keys())
-        self.known.update(zip(new, self.units(new), strict=True))
         every = list(chain.from_iterable(lists))
-        number = {u: i for i, u in enumerate(dict.fromkeys(every))}
-        known = [self.known[u] for u in number]
-        size = np.array([len(k) for k in known], np.int64)
-        start = np.concatenate(([0], np.cumsum(size)))
-        flat = np.concatenate(known) if known else np.empty(0, np.int32)
-        at = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        n = size[at]
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        self._learn(list(set(every) - self.number.keys()))
+        at = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        n = self.size[at]
         before = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(start[at] - before[:-1], n) + np.arange(before[-1])]
+        ids = self.flat[np.repeat(self.start[at] - before[:-1], n) + np.arange(before[-1])]
         return ids, before[np.concatenate(([0], np.cumsum([len(units) for units in lists], dtype=np.int64)))]
 
-    def units(self, units: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
+    def _learn(self, units: list[str]) -> None:
+        """Encodes new units, those of equal length together."""
+        parts, sizes, order, single = [self.flat], [], [], []
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            by_length.setdefault(len(u), []).append(u)
         advance = self._viterbi if self.v.kind == UNIGRAM else self._merge
-        for length, rows in by_length.items():
+        for length, same in by_length.items():
             if length > LONG and self.v.kind == BPE:
-                for i in rows:
-                    out[i] = self._ids(units[i], self._merge_one(units[i]))
+                single += [(u, self._merge_one(u)) for u in same]
                 continue
             step = max(1, MATRIX // length)
-            for a in range(0, len(rows), step):
-                part = rows[a : a + step]
-                points = np.frombuffer("".join(units[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                sizes, found = advance(points)
-                self._collect([units[i] for i in part], part, sizes, found, out)
-        return out
+            for a in range(0, len(same), step):
+                some = same[a : a + step]
+                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length)
+                spans, ids = advance(points)
+                unit, start = np.nonzero(spans)
+                got = ids[unit, start, np.minimum(spans[unit, start], ids.shape[2] - 1)]
+                odd = np.unique(unit[got < 0])  # units with a character that is no piece
+                single += [(some[k], [(x, int(spans[k, x])) for x in np.flatnonzero(spans[k]).tolist()]) for k in odd.tolist()]
+                whole = np.ones(len(some), bool)
+                whole[odd] = False
+                parts.append(got[whole[unit]])
+                sizes.append(np.bincount(unit, minlength=len(some))[whole])
+                order += some if not len(odd) else [u for u, w in zip(some, whole.tolist(), strict=True) if w]
+        for u, spans in single:
+            parts.append(self._ids(u, spans))
+            sizes.append(np.array([len(parts[-1])]))
+            order.append(u)
+        if not order:
+            return
+        size = np.concatenate(sizes).astype(np.int64)
+        self.number.update(zip(order, range(len(self.size), len(self.size) + len(order)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate(parts)
 
     def _substrings(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units, starts, lengths) of scores and ids: of each substring of up to the longest piece's length."""
@@ -231,18 +248,6 @@ class Encoder:
             sizes[live, left] = total[row, left]
         return sizes, ids
 
-    def _collect(self, units: list[str], rows: list[int], sizes: np.ndarray, ids: np.ndarray, out: list[np.ndarray]) -> None:
-        unit, start = np.nonzero(sizes)
-        got = ids[unit, start, np.minimum(sizes[unit, start], ids.shape[2] - 1)]
-        edge = np.searchsorted(unit, np.arange(len(units) + 1))
-        odd = set(unit[got < 0].tolist())
-        for k, i in enumerate(rows):
-            a, b = edge[k], edge[k + 1]
-            if k not in odd:
-                out[i] = got[a:b]
-            else:
-                out[i] = self._ids(units[k], [(s, sizes[k, s]) for s in start[a:b].tolist()])
-
     def _ids(self, unit: str, spans: list[tuple[int, int]]) -> np.ndarray:
         ids: list[int] = []
         for s, n in spans:
@@ -306,25 +311,27 @@ def _remembering(vocabulary: Vocabulary) -> Encoder:
     return _last[0]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """docs with one column more: the piece ids of each whole text, an array of int (empty for null and empty texts).
 
-    A column of that name is replaced, all others pass through; repeated rows give equal ids; an empty table stays empty.
+    With decoded_col, a second one: the text that decoding these ids gives, in the same pass. Columns of these names are
+    replaced, all others pass through; repeated rows give equal ids; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
-    names = [c for c in docs.columns if c != ids_col]
+    names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     inner = docs.select(own(text_col).alias("text"), packed(names).alias("row"))
-    schema = inner.select("row").schema.add("ids", ArrayType(IntegerType()))
+    schema = inner.select("row").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _remembering(shared.value)
         for b in batches:
             for part in _slices(b, b["text"], TEXT_BYTES):
                 ids, bounds = encoder.encode(part["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays([part["row"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["row", "ids"])
+                back = pa.array(encoder.decode(ids, bounds), pa.string()) if decoded_col else pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([part["row"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), back], names=["row", "ids", "decoded"])
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*unpacked("row", names), out["ids"].alias(ids_col))
+    return out.select(*unpacked("row", names), out["ids"].alias(ids_col), *([out["decoded"].alias(decoded_col)] if decoded_col else []))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -40,8 +40,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and their way back; a word mark inside a text comes back as a space, as in the library."""
     vocabulary = pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, vocabulary, ids_col="ids")
-    back = pieces.decode(coded, vocabulary, ids_col="ids", text_col="decoded")
+    back = pieces.encode(docs, vocabulary, ids_col="ids", decoded_col="decoded")
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("restored"))
 
