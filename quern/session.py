@@ -21,11 +21,18 @@ def build(master: str = "local[*]", app: str = "quern", shuffle_partitions: int
     return prepare(SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate())
 
 
+#: Rows and bytes that a Python worker gets at once, unless the session says otherwise: texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package, whatever the driver's working directory.
+    """Bounds Arrow batches, and lets Python workers on this machine import the package, whatever the working directory.
 
     On a cluster the package is installed on the executors or given with --py-files.
     """
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     home, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in known:
