@@ -9,32 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import scratch, toxicity
+from quern import session
+from quern.llm import toxicity
 from quern.llm.minhash_dedup import near_duplicates
 from quern.llm.packing import packed_sequences
 from quern.llm.substring_dedup import substring_dedup
+from quern.sources import scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold of their language; the classifier learns from this stage's input."""
+    session.prepare(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.toxicity(docs, model, out_col="score", reject_col="rejected").where(~F.col("rejected")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; documents without words all stay."""
+    session.prepare(spark)
     gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 35 words and more that occur anywhere else; other characters stay as they are."""
+    session.prepare(spark)
     out = substring_dedup(docs, window=35, keep_layout=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of the permitted lengths, with the ids and spans of the documents in each."""
+    session.prepare(spark)
     return packed_sequences(docs)
 
 

@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, vectors
+from quern.sources import scratch
+
+from . import vectors
 from .columns import own
 from .components import connected_components
 

@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import scratch, words
+from quern.sources import scratch
+
+from . import words
 from .columns import own
 from .components import connected_components
 

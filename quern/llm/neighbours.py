@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch, vectors
+from quern.sources import scratch
+
+from . import vectors
 from .columns import own
 
 PROJECTED, CONFIDENCE, LEAF = 8, 0.99, 128

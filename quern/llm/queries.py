@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pieces, scratch, token_counts, toxicity
+from quern.sources import scratch
+
+from . import chat, pieces, token_counts, toxicity
 from .embedding_dedup import embedding_duplicates
 from .html_text import extract_text
 from .minhash_dedup import near_duplicates
@@ -128,8 +130,30 @@ def queries() -> dict:
 
 
 #: Words as the contracts define them, for DuckDB.
-WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+REACH = "reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: What the template adds to the texts: marks of a turn, and a backslash for each control string and backslash.
+MARKED = r"CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE 18 + length(role) END + length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|<</?SYS>>|<\|/?turn\|>?'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS.format("text")} AS ws FROM documents),
+            starts AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM d),
+            rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) AS n FROM starts) t WHERE n > 1),
+            w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+            m AS (SELECT w.r, w.i, w.word, max(rep.i IS NOT NULL) OVER (PARTITION BY w.r ORDER BY w.i ROWS 34 PRECEDING) AS gone FROM w LEFT JOIN rep ON w.r = rep.r AND w.i = rep.i)
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN (SELECT r, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS k FROM m GROUP BY r) s USING (r)""",
+        "op4_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            links AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.9), {REACH}
+            SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, c AS component_id, c = id AS kept FROM nodes JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) t ON a = id""",
+        "op5_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, {WORDS.format(LOWER)} AS ws FROM documents),
+            s AS (SELECT id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w),
+            nodes AS (SELECT id, len(sh) AS n FROM s), e AS (SELECT id, unnest(sh) AS x FROM s),
+            links AS (SELECT a, b FROM (SELECT p.id AS a, q.id AS b, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.id <> q.id GROUP BY ALL) t JOIN nodes na ON a = na.id JOIN nodes nb ON b = nb.id WHERE 100 * k >= 85 * (na.n + nb.n - k)), {REACH}
+            SELECT id AS doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, c = id AS kept FROM nodes JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) t ON a = id""",
+        "op10_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(3 + sum({MARKED}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    }
