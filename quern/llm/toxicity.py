@@ -2,8 +2,9 @@
 
 A word's vector is the sum of three rows of one hashed table: of the whole word and of its first four and six bytes, after
 A-Z became lower case and ASCII punctuation at both ends went. Filters of 1, 2 and 3 words run over the whole text, the
-maximum of each over all places goes through a logistic unit. Rows that no gradient ever reached are set to zero, so a
-word unknown in training is neutral. Scores are calibrated to probabilities (Platt) on rows kept out of the fit, and a
+maximum of each over all places goes through a logistic unit. Only rows that occur more often with one label than with
+the other take part, and rows that no gradient reached are set to zero: a word that tells nothing, or that training
+didn't see, is neutral. Scores are calibrated to probabilities (Platt) on rows kept out of the fit, and a
 threshold for each language is chosen on the same rows; the language is no input of the score.
 
 Training reads a bounded sample on the driver (see `train`); scoring is one pass over the documents without a shuffle.
@@ -32,6 +33,9 @@ PAD = max(WIDTHS) - 1
 DEFAULT_THRESHOLD = 0.3
 #: Squared gradient that each row of the table begins with: one stray gradient then moves a row little.
 START = 1e-5
+#: Documents of the fit that a row of the table must occur in to be used, and how far its shares of the documents of the
+#: two labels must lie apart, in standard errors.
+LEAST_DOCUMENTS, LEAST_Z = 3, 2.0
 
 
 @dataclass
@@ -162,6 +166,8 @@ def _fresh(draw: np.random.Generator) -> Model:
 def _fit(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, fit: np.ndarray, steps: int, draw: np.random.Generator, batch: int = 32, rate: float = 0.05) -> None:
     """Adagrad on the logistic loss; the gradient of a maximum goes to the words at its place."""
     at = np.concatenate(([0], np.cumsum(counts)))
+    usable = _telling(ids, at, y, fit, len(model.table))
+    model.table[~usable] = 0
     weight = np.where(y == 1, 0.5 / max(y[fit].mean(), 1e-9), 0.5 / max(1 - y[fit].mean(), 1e-9))
     dense = {"offsets": model.offsets, "weights": model.weights, **{w: model.filters[w] for w in WIDTHS}}
     seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in dense.items()}
@@ -190,6 +196,7 @@ def _fit(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, fit:
             unique, back_to = np.unique(rows, return_inverse=True)
             change = np.zeros((len(unique), DIM), np.float32)
             np.add.at(change, back_to, np.tile(dx[touched][hit], (3, 1)))
+            unique, change = unique[usable[unique]], change[usable[unique]]
             seen_table[unique] += (change**2).mean(1)
             model.table[unique] -= rate * change / np.sqrt(seen_table[unique] + 1e-8)[:, None]
             for k, v in dense.items():
@@ -200,6 +207,17 @@ def _fit(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, fit:
     model.table[seen_table == np.float32(START)] = 0
 
 
+def _telling(ids: np.ndarray, at: np.ndarray, y: np.ndarray, fit: np.ndarray, size: int) -> np.ndarray:
+    """Rows of the table whose share of documents differs between the labels: others would only let the fit remember."""
+    seen = np.zeros((2, size))
+    for i in fit:
+        seen[int(y[i]), np.unique(ids[:, at[i] : at[i + 1]])] += 1
+    n = np.array([(y[fit] == 0).sum(), (y[fit] == 1).sum()], float)
+    share, both = seen / n[:, None], seen.sum(0) / n.sum()
+    z = (share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n).sum())
+    return (seen.sum(0) >= LEAST_DOCUMENTS) & (np.abs(z) >= LEAST_Z)
+
+
 def _calibrate(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, rows: np.ndarray, totals: dict[int, int], lang: np.ndarray) -> None:
     """Platt scaling with the labels' true shares, then the threshold of each language with the best F1."""
     at = np.concatenate(([0], np.cumsum(counts)))
@@ -228,13 +246,16 @@ def _calibrate(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray,
 
 
 def _threshold(score: np.ndarray, t: np.ndarray, weight: np.ndarray) -> float:
-    """The middle of the best cut: weighted F1 of label 1, ties to the value nearest the default."""
+    """The middle of the best cut: weighted F1 of label 1, ties to the value nearest the default, and never below it.
+
+    A score is a probability; where too few labels or a weak fit put the best cut lower, clean documents stay.
+    """
     order = np.argsort(-score)
     hits, picked = np.cumsum((weight * t)[order]), np.cumsum(weight[order])
     f1 = 2 * hits / (picked + (weight * t).sum())
     cuts = (score[order] + np.append(score[order][1:], 0)) / 2
     good = cuts[f1 >= f1.max() - 1e-9]
-    return float(good[np.abs(good - DEFAULT_THRESHOLD).argmin()])
+    return max(DEFAULT_THRESHOLD, float(good[np.abs(good - DEFAULT_THRESHOLD).argmin()]))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", out_col: str = "toxicity", reject_col: str = "rejected") -> DataFrame:
