@@ -172,8 +172,11 @@ def _fit(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, fit:
     dense = {"offsets": model.offsets, "weights": model.weights, **{w: model.filters[w] for w in WIDTHS}}
     seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in dense.items()}
     seen_bias, seen_table = 1e-2, np.full(len(model.table), START, np.float32)
-    for _ in range(max(8, round(steps * batch / len(fit)))):
-        for b in np.array_split(draw.permutation(fit), max(1, len(fit) // batch)):
+    rounds, per_round = max(8, round(steps * batch / len(fit))), max(1, len(fit) // batch)
+    # What stays is the mean of the weights over the second half: single steps of a small fit are noisy.
+    every, sums, bias, taken = max(1, rounds * per_round // 60), {k: np.zeros(v.shape) for k, v in [*dense.items(), ("table", model.table)]}, 0.0, 0
+    for turn in range(rounds):
+        for number, b in enumerate(np.array_split(draw.permutation(fit), per_round)):
             n, own_ids = counts[b], np.concatenate([ids[:, at[i] : at[i + 1]] for i in b], 1)
             x = model.vectors(own_ids, n)
             pooled, where = model.pool(x, n, where=True)
@@ -204,6 +207,15 @@ def _fit(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, fit:
                 v -= rate * grad[k] / np.sqrt(seen[k])
             seen_bias += float(error.sum()) ** 2
             model.bias -= rate * float(error.sum()) / np.sqrt(seen_bias)
+            step = turn * per_round + number
+            if 2 * step >= rounds * per_round and step % every == 0:
+                for k in dense:
+                    sums[k] += dense[k]
+                sums["table"] += model.table
+                bias, taken = bias + model.bias, taken + 1
+    for k in dense:
+        dense[k][:] = sums[k] / taken
+    model.table[:], model.bias = sums["table"] / taken, bias / taken
     model.table[seen_table == np.float32(START)] = 0
 
 
