@@ -38,11 +38,14 @@ CONTAINERS = frozenset("article aside body div dl fieldset figure footer form he
 # Words in class and id by which pages name parts that are not the article.
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising banner banners breadcrumb breadcrumbs byline captcha comment commentlist comments cookie "
-    "cookies consent discussion disqus dropdown feedback foot footer footnav gdpr header hidden login masthead menu menubar menus modal nav navbar "
+    "cookies consent discussion disqus dropdown feedback foot footer footnav gdpr header login masthead menu menubar menus modal nav navbar "
     "navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promotion recommended related "
     "replies reply respond rail search share sharebar sharing sidebar sidenav signin signup skip skyscraper social sponsor sponsored sponsors "
-    "subscribe subscription tagcloud teaser toolbar topbar trackback trending widget widgets".split()
+    "subscribe subscription tagcloud toolbar topbar trackback trending widget widgets".split()
 )
+# Words that make a "header" or "widget" of the same name a part of the article, as in post-header.
+OWN = frozenset("article body content elementor entry page post story text".split())
+NOT_OF_OWN = frozenset(("header", "widget", "widgets"))
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Width of the Gaussian in lines, share of the dense text that a region must hold.
@@ -164,7 +167,10 @@ def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
         elif name == "role" and value in ROLES:
             framed = True
         elif name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-            framed = framed or not NAMES.isdisjoint(w.lower() for part in value.split() for w in SPLIT.split(part))
+            for part in value.split():
+                found = {w.lower() for w in SPLIT.split(part)}
+                framed = framed or not NAMES.isdisjoint(found if OWN.isdisjoint(found) else found - NOT_OF_OWN)
+                hidden = hidden or part == "hidden"
     return hidden and tag not in ("html", "body"), framed
 
 

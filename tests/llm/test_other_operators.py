@@ -139,6 +139,14 @@ def test_main_text_without_article_elements():
     assert html_text.main_text(page) == f"{p}\n\nOk.\n\n{p}"
 
 
+def test_main_text_of_other_layouts():
+    p = "A paragraph with a good many words, so that it is plainly the text that readers came for, and nothing else."
+    head = '<div class="site-header"><a href=/>Home</a></div><div id="leftSidebar"><p>' + p + "</p></div>"
+    for wrap in ('<main class="col"><div class="post-header"><h1>Head</h1></div>{0}</main>', '<div class="entry elementor-widget"><h1>Head</h1>{0}</div>', "<table><tr><td><a href=1>one</a><td><h1>Head</h1>{0}</table>"):
+        page = f'<html><body>{head}{wrap.format(f"<p>{p}<p>Yes.<p>{p}")}<div class="shareBar">Share</div><div class="hidden">{p}</div><div role="contentinfo">{p}</div></body></html>'
+        assert html_text.main_text(page) == f"Head\n\n{p}\n\nYes.\n\n{p}"
+
+
 def test_extract_text_frames(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", "<p>" + "long " * 20000)], "page_id long, url string, html string").withColumn("text", F.lit(7))
     got = html_text.extract_text(df)
