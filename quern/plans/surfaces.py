@@ -85,7 +85,7 @@ def user_aggregate(spark, sf_dir):
     def trimmed(v: pd.Series) -> float:
         return float((v.sum() - v.min() - v.max()) / (len(v) - 2)) if len(v) > 2 else float("nan")
 
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(trimmed("s_acctbal").alias("t")).where("not isnan(t)").select("s_nationkey", F.round("t", 4).alias("t"))
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(trimmed("s_acctbal").alias("t")).where("t is not null").select("s_nationkey", F.round("t", 4).alias("t"))
 
 
 def user_scalar(spark, sf_dir):
