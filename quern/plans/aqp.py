@@ -230,6 +230,7 @@ ORACLE = {
         f"SELECT '{n}' AS method, c_mktsegment, round(abs(coalesce(a.sum_amount, 0) - e.sum_amount) / abs(e.sum_amount) * 100, 6) AS err_sum_amount, round(abs(coalesce(a.cnt, 0) - e.cnt) / e.cnt * 100, 6) AS err_cnt FROM ({_EXACT3}) e LEFT JOIN ({q}) a USING (c_mktsegment)"
         for n, q in (("swr", _SWR3), ("bernoulli", _BERNOULLI3))
     ),
+    "erf_inv_grid": "SELECT * FROM (VALUES " + ", ".join(f"({i / 100}::DOUBLE, {round(est.erf_inv_value(i / 100), 9)}::DOUBLE)" for i in range(-95, 96)) + ") AS t(y, x)",
     "sample_probabilities": f"SELECT round(max(p), 9) AS p, round(max(1.0 / p), 4) AS inv_p, count(*) AS n FROM {_swr(50)} x",
     "rejection_metrics": f"SELECT count(*) AS n_attempted, count(*) FILTER (l_returnflag = 'R') AS n_accepted, round((count(*) - count(*) FILTER (l_returnflag = 'R')) * 100.0::DOUBLE / count(*), 4) AS rejection_pct FROM {_swr(1000, 'lineitem')} x",
     "system_blocks": f"SELECT count(*) AS cnt, count(DISTINCT l_orderkey) AS orders, round(count(*) / 0.25::DOUBLE, 2) AS estimate FROM lineitem WHERE {_bits(f"CAST(l_orderkey // 64 AS VARCHAR) || '|{SEED}'")} < {1 << 30}",

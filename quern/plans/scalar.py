@@ -127,11 +127,13 @@ def truth_spellings(spark, sf_dir):
 
 FRAMES = (prepared_parameters, math_gcd, math_degrees, math_buckets, text_trigrams, text_similar_to, text_quotes, text_phonetic, text_search, inet_functions, label_paths, range_predicates, vector_distances, geometry, json_predicates, intervals_justified, enum_order, truth_spellings)
 QUERIES = (*(_sql(n, s if isinstance(s, str) else s[0]) for n, s in SQL.items() if n != "prepared_parameters"), *FRAMES)
+_TRIGRAMS = "list_sort(list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in string_split({0}, ' ')])))"
 _RANGE = "(floor(s_acctbal) {0} AND floor(s_acctbal) + 500 {1})"
 ORACLE = {n: s if isinstance(s, str) else s[1] for n, s in SQL.items()} | {
     "math_gcd": "SELECT DISTINCT l_partkey, l_suppkey, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS g, CAST(lcm(l_partkey, l_suppkey) AS BIGINT) AS l FROM lineitem",
     "math_degrees": "SELECT d, round(sin(radians(d)), 9) + 0 AS s, round(cos(radians(d)), 9) + 0 AS c, round(degrees(atan(d)), 7) AS a FROM (SELECT CAST(range AS DOUBLE) AS d FROM range(0, 361, 15)) t WHERE d % 30 = 0 OR d % 45 = 0",
     "math_buckets": "SELECT c_custkey, CAST(CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal >= 9000 THEN 10 ELSE floor(c_acctbal / 1000) + 1 END AS INT) AS b, round(trunc(c_acctbal * 10) / 10, 1) AS t FROM customer",
+    "text_trigrams": f"SELECT DISTINCT p_name, array_to_string({_TRIGRAMS.format('p_name')}, ',') AS t, round(len(list_intersect({_TRIGRAMS.format('p_name')}, {_TRIGRAMS.format("'red gear'")})) / len(list_distinct(list_concat({_TRIGRAMS.format('p_name')}, {_TRIGRAMS.format("'red gear'")})))::DOUBLE, 8) AS s FROM part",
     "text_similar_to": "SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '(red|blue) .*t.')",
     "text_quotes": "SELECT * FROM (VALUES ('it''s', '''it''''s''', '\"it''s\"', 'it''s e n U', 'it''s+'), ('plain', '''plain''', 'plain', 'plain e n U', 'plain+'), ('Mixed Case', '''Mixed Case''', '\"Mixed Case\"', 'Mixed Case e n U', 'Mixed Case+'), ('a\"b', '''a\"b''', '\"a\"\"b\"', 'a\"b e n U', 'a\"b+'), (NULL, 'NULL', NULL, NULL, '+')) AS t(s, l, i, u, c)",
     "text_phonetic": "SELECT * FROM (VALUES ('Robert', 'R163', 4, 'RBRT'), ('Rupert', 'R163', 4, 'RPRT'), ('Thompson', 'T512', 0, '0MPSN'), ('Knight', 'K523', 1, 'NT'), ('Phone', 'P500', 0, 'FN')) AS t(s, x, d, m)",
