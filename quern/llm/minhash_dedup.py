@@ -6,8 +6,8 @@ symbols. If two signatures differ in at most ERRORS * chunks + chunks - 1 symbol
 out. All pairs under that signature distance share a key, without exception and without a cap on how many share it.
 
 With 32 symbols in 8 chunks of 4 and one error a chunk, every pair with at most 15 differing symbols is found. A pair at
-similarity 0.85 differs in 4.8 on average; it is missed only if all eight chunks have two errors or more,
-0.11 ** 8 = 2e-8. Two unrelated texts share a key by chance with probability 2 ** -48 for each key.
+similarity 0.8 differs in 6.4 on average; it is missed only if all eight chunks have two errors or more,
+0.181 ** 8 = 1e-6 (2e-8 at 0.85). Two unrelated texts share a key by chance with probability 2 ** -48 for each key.
 
 From keys to links, without all pairs of a group:
  1. Equal sets are one class, represented by its smallest id.
@@ -112,7 +112,7 @@ def _signatures(symbols: int, width: int, errors: int, shingle: int) -> Callable
     return sign
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = SHINGLE, symbols: int = SYMBOLS, width: int = WIDTH, errors: int = ERRORS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE, symbols: int = SYMBOLS, width: int = WIDTH, errors: int = ERRORS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """Groups of documents whose shingle sets are alike: 100 * |intersection| >= percent * |union|.
 
     Returns (id_col, n_shingles long, component_id long, kept boolean), one row for each row of docs: the number of

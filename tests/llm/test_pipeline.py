@@ -23,7 +23,7 @@ def test_stages(spark, small, tmp_path):
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic = 1").collect()}
     gone = {r["doc_id"] for r in raw} - {r["doc_id"] for r in clean}
     assert len(gone - toxic) <= 0.2 * len(raw)  # few labels are known of this small table
-    kept = {d for d, _, _, k in fx.near([(r["doc_id"], r["text"]) for r in clean]) if k}
+    kept = {d for d, _, _, k in fx.near([(r["doc_id"], r["text"]) for r in clean], 80) if k}
     assert sorted(r["doc_id"] for r in single) == sorted(kept)
     want = {d: k for d, _, _, k in fx.cut([(r["doc_id"], r["text"]) for r in single], 35)}
     assert {r["doc_id"]: fx.tokens(r["text"]) for r in cut} == want

@@ -63,7 +63,7 @@ def test_near_duplicates(spark, task_shingles):
     """The smaller bound sends groups through blocks and hubs."""
     rows = [*fx.copies(), *EDGES]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit(1)).withColumn("key", F.lit(2))
-    assert sorted(map(tuple, minhash_dedup.near_duplicates(df, task_shingles=task_shingles).collect())) == fx.near(rows)
+    assert sorted(map(tuple, minhash_dedup.near_duplicates(df, percent=85, task_shingles=task_shingles).collect())) == fx.near(rows)
 
 
 def test_near_duplicates_repeated_rows_and_nulls(spark):
@@ -73,12 +73,14 @@ def test_near_duplicates_repeated_rows_and_nulls(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_boundary_similarity(spark):
-    """Exactly 85 of 100 shingles in common is a link, 84 of 100 is none."""
-    a = [f"a{i}" for i in range(96 + 4)]
-    # 96 shingles; a changed word at the end costs one shingle on each side: 92 + k words shared give inter, union.
-    rows = [(1, " ".join(a[:94])), (2, " ".join(a[:86])), (3, " ".join(a[2:94]))]
-    assert sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == fx.near(rows)
+@pytest.mark.parametrize(("words", "own", "percent"), [(89, 15, 85), (88, 16, 85), (84, 20, 80), (83, 21, 80)])
+def test_boundary_similarity(spark, words, own, percent):
+    """words - 4 shingles of the longer text's words + own - 4: at 85 or 80 of 100 in common a link, at one less none."""
+    a = [f"a{i}" for i in range(words + own)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:words]))]
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()))
+    assert got == fx.near(rows, percent)
+    assert (got[1][2] == 1) == (words - 4 == percent)
 
 
 def test_pack_against_the_optimum():
