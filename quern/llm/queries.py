@@ -65,7 +65,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = toxicity.toxicity(docs, model, out_col="score")
     predicted = (F.col("score") >= F.lit(toxicity.DEFAULT_THRESHOLD)).cast("int")
-    return out.select("doc_id", (toxicity.part("doc_id") == 2).alias("held_out"), "score", predicted.alias("predicted"), F.col("rejected").alias("over_language_threshold"))
+    return out.select("doc_id", F.coalesce(toxicity.part("doc_id") == 2, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), F.col("rejected").alias("over_language_threshold"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,21 @@ def test_stages(spark, small, tmp_path):
     assert sum(r["used"] for r in packed) == sum(map(len, want.values()))
 
 
+def test_edges_of_the_stages(spark, small):
+    """Repeated rows, null ids and null texts go through all stages; one row of each id stays."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, None, None, None, None), (3, None, None, None, None), (None, "own words", "xx", "s", 9), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
+        if name == "near_dedup":
+            assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted([(1, text), (3, None), (4, ""), (None, "own words")], key=repr)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    assert sorted((d for r in packed for d in r["doc_ids"]), key=repr) == sorted([1, 3, 4, None], key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).collect() == []
+
+
 def test_run_equals_its_stages(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.select(F.sum("used")).first()[0] > 0
