@@ -47,12 +47,26 @@ class Layout:
     digits: int = 1
 
 
-def swr_sample(population: DataFrame, n: int | None, layout: Layout, seed: int | None = 0) -> DataFrame:
+def _placed(population: DataFrame, layout: Layout) -> DataFrame:
+    rows = population.withColumns({"__b": layout.bucket, "__h": row_digest(layout.identity)})
+    return rows.withColumn("__s", F.substring("__h", 1, layout.digits))
+
+
+def rank_index(population: DataFrame, layout: Layout) -> DataFrame:
+    """Counts of buckets (__b, __s, __c): stored once, they spare each later sample its pass over the population.
+
+    Counts of a part of the buckets are an index of the rows in them; counts of several tables add up.
+    """
+    return _placed(population, layout).groupBy("__b", "__s").agg(F.count(F.lit(1)).alias("__c"))
+
+
+def swr_sample(population: DataFrame, n: int | None, layout: Layout, seed: int | None = 0, index: DataFrame | None = None) -> DataFrame:
     """n independent uniform draws, with replacement, from the rows of `population` (the table after its range predicate).
 
     Counts of buckets take the part of an index: they are aggregated before they move, their prefix sums turn the rank of
     a draw into a bucket and an offset, and only rows of drawn buckets are ranked. The draws, not the rows, are broadcast;
-    there are n of them. A row drawn k times appears k times. Equal seeds give equal samples. An empty population
+    there are n of them. `index` is rank_index() of exactly this population, if it is stored; the sample is the same with
+    and without. A row drawn k times appears k times. Equal seeds give equal samples. An empty population
     gives an empty sample and a warning.
     """
     if n is None or n < 0:
@@ -60,24 +74,23 @@ def swr_sample(population: DataFrame, n: int | None, layout: Layout, seed: int |
     if seed is None:
         raise SampleError("TABLESAMPLE REPEATABLE parameter cannot be null")
     spark = population.sparkSession
-    digest = row_digest(layout.identity)
-    rows = population.withColumns({"__b": layout.bucket, "__h": digest}).withColumn("__s", F.substring("__h", 1, layout.digits))
-    counts = rows.groupBy("__b", "__s").agg(F.count(F.lit(1)).alias("__c"))
+    rows = _placed(population, layout)
+    counts = rank_index(population, layout) if index is None else index.select("__b", "__s", "__c")
     # One row for each bucket: small beside the table, and spread over buckets of the first level before it is one.
     upper = counts.groupBy("__b").agg(F.sum("__c").alias("__t"))
     upper = upper.withColumn("__before", F.sum("__t").over(Window.orderBy("__b")) - F.col("__t"))
     total = upper.agg(F.sum("__t").alias("__m"))
     upper = upper.withColumnRenamed("__b", "__ub")
     inner = Window.partitionBy("__b").orderBy("__s")
-    index = counts.join(upper, F.col("__b").eqNullSafe(F.col("__ub"))).withColumn("__first", F.col("__before") + F.sum("__c").over(inner) - F.col("__c"))
+    ranges = counts.join(upper, F.col("__b").eqNullSafe(F.col("__ub"))).withColumn("__first", F.col("__before") + F.sum("__c").over(inner) - F.col("__c"))
     draws = spark.range(n).select(F.col("id").alias("__i"), draw(F.col("id"), seed).alias("__u")).crossJoin(F.broadcast(total.where("__m > 0")))
     draws = draws.select("__i", "__m", F.floor(F.col("__u") * F.col("__m") / F.lit(4294967296)).cast("long").alias("__rank"))
     # A range join made an equi-join: ranks and buckets meet on blocks of the rank axis.
     block = F.greatest(F.lit(1), F.ceil(F.col("__m") / RANK_BLOCKS)).cast("long")
     covered = F.sequence(F.expr("__first div __w"), F.expr("(__first + __c - 1) div __w"))
-    index = index.join(F.broadcast(total.select(block.alias("__w")))).withColumn("__k", F.explode(covered)).drop("__w")
+    ranges = ranges.join(F.broadcast(total.select(block.alias("__w")))).withColumn("__k", F.explode(covered)).drop("__w")
     draws = draws.withColumn("__w", block).withColumn("__k", F.expr("__rank div __w"))
-    placed = draws.join(index, "__k").where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__c")))
+    placed = draws.join(ranges, "__k").where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__c")))
     placed = placed.select(F.col("__b").alias("__db"), F.col("__s").alias("__ds"), (F.col("__rank") - F.col("__first")).alias("__offset"), "__m")
     needed = placed.select("__db", "__ds").distinct()
     ranked = rows.join(F.broadcast(needed), F.col("__b").eqNullSafe(F.col("__db")) & (F.col("__s") == F.col("__ds")), "left_semi")

@@ -29,6 +29,15 @@ def test_draws_are_with_replacement_and_repeatable(population):
     assert {r["__p"] for r in a} == {1 / 400} and {r["__n"] for r in a} == {900.0}
 
 
+def test_stored_index_gives_the_same_sample(population, tmp_path):
+    sampling.rank_index(population, layout()).write.parquet(str(tmp_path / "index"))
+    index = population.sparkSession.read.parquet(str(tmp_path / "index"))
+    part = population.where("k in (2, 3)")
+    a = sampling.swr_sample(part, 100, layout(), 6)
+    b = sampling.swr_sample(part, 100, layout(), 6, index=index.where("__b in (2, 3)"))
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
 def test_layout_digits_and_one_hot_bucket(spark, population):
     """A bucket with all rows is split by digest and still drawn uniformly."""
     hot = population.withColumn("k", F.lit(1))
