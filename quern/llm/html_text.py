@@ -5,7 +5,8 @@ the tags met on the way to it. The ratios of text to tags, smoothed along the pa
 (after Weninger et al., "CETR", WWW 2010); lines above it are dense. The dense lines select the content region: among
 article and main elements those that hold most of the dense text, else the smallest element that holds nearly all of
 it. From the region every block is kept, short or long, but for what markup declares to be no content: menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments, hidden parts, scripts and styles.
+footers, sidebars, notices, adverts, forms, reader comments, hidden parts, scripts and styles. A class or id declares
+that only of parts: one such as with-sidebar on an element around the content frames nothing.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ NAMES = frozenset(
 # Words that make a "header" or "widget" of the same name a part of the article, as in post-header.
 OWN = frozenset("article body content elementor entry page post story text".split())
 NOT_OF_OWN = frozenset(("header", "widget", "widgets"))
+# Words of parts that often outweigh the article.
+OUTWEIGH = frozenset("captcha comment commentlist comments consent cookie cookies discussion disqus gdpr paywall privacy replies reply respond".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Width of the Gaussian in lines, share of the dense text that a region must hold.
@@ -59,6 +62,7 @@ class Line:
     links: int  # characters inside links
     framed: bool
     path: tuple[int, ...]  # numbers of the open containers, outermost first
+    named: tuple[int, ...] = ()  # numbers of the open elements whose class or id names them a part that is not the article
 
 
 class _Page(HTMLParser):
@@ -68,9 +72,12 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.regions: dict[int, str] = {}  # number of each article or main element
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, silent, framed, number
+        self.around: dict[int, tuple[int, ...]] = {}  # of each of these that no name of its own makes another part: the named elements around it
+        self.outweigh: set[int] = set()  # named elements with a word of OUTWEIGH
+        self.open: list[tuple[str, bool, bool, bool, int]] = []  # name, silent, framed, named, number
         self.text: list[str] = []
         self.path: tuple[int, ...] = ()
+        self.named: tuple[int, ...] = ()
         self.silent = self.framed = self.inside = self.made = self.tags = self.links = self.anchors = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -86,14 +93,16 @@ class _Page(HTMLParser):
             return
         silent = tag in SILENT
         framed = tag in FRAME or tag == "header" and not self.inside
+        named, words = False, frozenset()
         if attrs:
-            hidden, named = _marks(tag, attrs)
-            silent, framed = silent or hidden, framed or named
+            hidden, role, words = _marks(tag, attrs)
+            silent, framed = silent or hidden, framed or role
+            named = bool(words) and tag not in ("html", "body", "article", "main")
         if tag == "a":
             self.anchors = 1  # links don't nest
-        if block or silent or framed:
+        if block or silent or framed or named:
             self.made += 1
-            self.open.append((tag, silent, framed, self.made))
+            self.open.append((tag, silent, framed, named, self.made))
             self.silent += silent
             self.framed += framed
             if tag in CONTAINERS:
@@ -101,6 +110,12 @@ class _Page(HTMLParser):
             if tag in REGION and not self.framed:
                 self.inside += 1
                 self.regions[self.made] = tag
+                if not words:
+                    self.around[self.made] = self.named
+            if named:
+                self.named += (self.made,)
+                if not OUTWEIGH.isdisjoint(words):
+                    self.outweigh.add(self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only, in HTML
@@ -119,9 +134,11 @@ class _Page(HTMLParser):
     def _close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for name, silent, framed, number in reversed(self.open[i:]):
+                for name, silent, framed, named, number in reversed(self.open[i:]):
                     self.silent -= silent
                     self.framed -= framed
+                    if named:
+                        self.named = self.named[:-1]
                     if name in CONTAINERS:
                         self.path = self.path[:-1]
                     self.inside -= number in self.regions
@@ -145,7 +162,7 @@ class _Page(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(Line(text, max(1, self.tags), min(self.links, len(text)), self.framed > 0, self.path))
+            self.lines.append(Line(text, max(1, self.tags), min(self.links, len(text)), self.framed > 0, self.path, self.named))
             self.tags = 0
         self.text, self.links = [], 0
 
@@ -158,20 +175,21 @@ class _Page(HTMLParser):
         self._flush()
 
 
-def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
-    """Whether attributes hide an element, and whether they name it a part that is not the article."""
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, frozenset[str]]:
+    """Whether attributes hide an element, whether its role makes it a part that is not the article, and words that name it one."""
     hidden = framed = False
+    words: set[str] = set()
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and GONE.search(value):
             hidden = True
         elif name == "role" and value in ROLES:
             framed = True
-        elif name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
+        elif name in ("class", "id") and value:
             for part in value.split():
                 found = {w.lower() for w in SPLIT.split(part)}
-                framed = framed or not NAMES.isdisjoint(found if OWN.isdisjoint(found) else found - NOT_OF_OWN)
-                hidden = hidden or part == "hidden"
-    return hidden and tag not in ("html", "body"), framed
+                words |= NAMES & (found if OWN.isdisjoint(found) else found - NOT_OF_OWN)
+                hidden = hidden or part == "hidden" and tag not in ("article", "main")
+    return hidden and tag not in ("html", "body"), framed, frozenset(words)
 
 
 def dense(lines: list[Line]) -> np.ndarray:
@@ -199,10 +217,11 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    weight = np.array([(len(x.text) - x.links) * (not x.framed) for x in lines], float)
-    heavy = np.where(dense(lines), weight, 0)
-    if not heavy.any():
-        heavy = weight if weight.any() else np.array([len(x.text) * (not x.framed) for x in lines], float)
+    upper = dense(lines)
+    wrappers = _wrappers(page, lines, _heavy(lines, upper))
+    for x in lines:
+        x.framed = x.framed or not wrappers.issuperset(x.named)
+    heavy = _heavy(lines, upper)
     total = heavy.sum()
     regions = _tops(page, lines, heavy)
     if regions:
@@ -215,6 +234,39 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(x.text for x in lines if not x.framed and (root is None or root in x.path) and 2 * x.links <= len(x.text))
 
 
+def _heavy(lines: list[Line], upper: np.ndarray) -> np.ndarray:
+    """Characters outside links of the dense lines that nothing frames; of all lines where these have none."""
+    weight = np.array([(len(x.text) - x.links) * (not x.framed) for x in lines], float)
+    heavy = np.where(upper, weight, 0)
+    if not heavy.any():
+        heavy = weight if weight.any() else np.array([len(x.text) * (not x.framed) for x in lines], float)
+    return heavy
+
+
+def _wrappers(page: _Page, lines: list[Line], heavy: np.ndarray) -> set[int]:
+    """Elements that a class or id names another part, but that are around the content.
+
+    They hold half of the text of all article and main elements, and as much as lies under no such name. Or they hold
+    most of the dense text, and those elements next to no text; where the name is one of OUTWEIGH, nearly all and none.
+    """
+    total, text, free, found = heavy.sum(), 0, 0, 0
+    held: dict[int, float] = {}
+    regions: dict[int, int] = {}
+    for x, w in zip(lines, heavy, strict=True):
+        own_regions, size = [n for n in x.path if n in page.around], 0 if x.framed else len(x.text) - x.links
+        text, free, found = text + size, free + size * (not x.named), found + size * bool(own_regions)
+        for number in x.named:
+            held[number] = held.get(number, 0) + w
+        for number in {n for r in own_regions for n in page.around[r]}:
+            regions[number] = regions.get(number, 0) + size
+    out = {n for n, size in regions.items() if size and 2 * size >= found and size >= free}
+    told = found if out else sum(len(x.text) - x.links for x in lines if not x.framed and not x.named and not page.around.keys().isdisjoint(x.path))
+    for number, w in held.items():
+        if (w >= SHARE * total and not told) if number in page.outweigh else (2 * w > total and told <= (1 - SHARE) * text):
+            out.add(number)
+    return out
+
+
 def _tops(page: _Page, lines: list[Line], heavy: np.ndarray) -> set[int]:
     """The article elements, or else the main elements, that hold the dense text: the fullest, and any half as full."""
     for kind in ("article", "main"):

@@ -147,6 +147,22 @@ def test_main_text_of_other_layouts():
         assert html_text.main_text(page) == f"Head\n\n{p}\n\nYes.\n\n{p}"
 
 
+def test_main_text_inside_wrappers_with_names_of_parts():
+    """A name such as with-sidebar on an element around the article frames nothing; on a part it still does."""
+    p = "A paragraph with a good many words, so that it is plainly the text that readers came for, and nothing else."
+    story, side = f"<h1>Head</h1><p>{p}<p>Yes.<p>{p}", f'<div class="sidebar"><p>{p}</p></div>'
+    comments = f'<div id="comments"><article class="comment"><p>{p}</p></article>' + f"<p>{p}</p>" * 9 + "</div>"
+    related = f'<section class="related"><article><p>{p}</article></section>'
+    for name in ("content-sidebar-wrap", "with-sidebar", "no-sidebar", "search-page", "comments-open"):
+        for inner in ("<article>{0}</article>", "<main>{0}</main>", "<main><article>{0}</article></main>", "<div>{0}</div>"):
+            for rest in ("", related if "article" in inner else "", comments if "<div>" not in inner else ""):
+                if name == "comments-open" and "<div>" in inner and rest:
+                    continue
+                page = f'<body><div class="{name}">{inner.format(story)}{side if name != "no-sidebar" else ""}</div>{rest}<div>Copyright</div></body>'
+                assert html_text.main_text(page) == f"Head\n\n{p}\n\nYes.\n\n{p}", (name, inner, rest)
+    assert html_text.main_text(f"<body><article>{story}</article>{side * 9}{comments}</body>") == f"Head\n\n{p}\n\nYes.\n\n{p}"
+
+
 def test_extract_text_frames(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", "<p>" + "long " * 20000)], "page_id long, url string, html string").withColumn("text", F.lit(7))
     got = html_text.extract_text(df)
