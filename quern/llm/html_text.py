@@ -3,8 +3,8 @@
 The standard library's event parser walks the page once. Each block of text becomes a line, with its characters and
 the tags met on the way to it. The ratios of text to tags, smoothed along the page by a Gaussian, are cut at a threshold
 (after Weninger et al., "CETR", WWW 2010); lines above it are dense. The dense lines select the content region: among
-article and main elements those that hold most of the dense text, else the smallest element that holds nearly all of
-it. From the region every block is kept, short or long, but for what markup declares to be no content: menus, headers,
+article and main elements those that hold most of the dense text, with their siblings, else the smallest element that
+holds nearly all of it. From the region every block is kept, short or long, but for what markup declares to be no content: menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, hidden parts, scripts and styles. A class or id declares
 that only of parts: one such as with-sidebar on an element around the content frames nothing.
 """
@@ -36,6 +36,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: What opening one of these ends, if it is open in the same container.
 ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 CONTAINERS = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table ul".split())
+#: What a line's path names: these, and the cells of tables.
+PATHS = CONTAINERS | {"td", "th"}
 # Words in class and id by which pages name parts that are not the article.
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising banner banners breadcrumb breadcrumbs byline captcha comment commentlist comments cookie "
@@ -73,6 +75,7 @@ class _Page(HTMLParser):
         self.lines: list[Line] = []
         self.regions: dict[int, str] = {}  # number of each article or main element
         self.around: dict[int, tuple[int, ...]] = {}  # of each of these that no name of its own makes another part: the named elements around it
+        self.body = 0
         self.outweigh: set[int] = set()  # named elements with a word of OUTWEIGH
         self.open: list[tuple[str, bool, bool, bool, int]] = []  # name, silent, framed, named, number
         self.text: list[str] = []
@@ -105,8 +108,10 @@ class _Page(HTMLParser):
             self.open.append((tag, silent, framed, named, self.made))
             self.silent += silent
             self.framed += framed
-            if tag in CONTAINERS:
+            if tag in PATHS:
                 self.path += (self.made,)
+            if tag == "body":
+                self.body = self.made
             if tag in REGION and not self.framed:
                 self.inside += 1
                 self.regions[self.made] = tag
@@ -139,7 +144,7 @@ class _Page(HTMLParser):
                     self.framed -= framed
                     if named:
                         self.named = self.named[:-1]
-                    if name in CONTAINERS:
+                    if name in PATHS:
                         self.path = self.path[:-1]
                     self.inside -= number in self.regions
                 del self.open[i:]
@@ -231,7 +236,11 @@ def main_text(html: str | None) -> str:
         for number in x.path:
             held[number] = held.get(number, 0) + w
     root = max((n for n in held if held[n] >= SHARE * total), default=None)  # inner elements have larger numbers
-    return "\n\n".join(x.text for x in lines if not x.framed and (root is None or root in x.path) and 2 * x.links <= len(x.text))
+    inside = [i for i, x in enumerate(lines) if not x.framed and (root is None or root in x.path)]
+    if root is None or root == page.body or not any(heavy[i] and lines[i].path[-1] == root for i in inside):
+        full = [i for i in inside if heavy[i]]
+        inside = [i for i in inside if 2 * lines[i].links <= len(lines[i].text) or full and full[0] < i < full[-1]]  # menus of loose markup
+    return "\n\n".join(lines[i].text for i in inside)
 
 
 def _heavy(lines: list[Line], upper: np.ndarray) -> np.ndarray:
@@ -268,16 +277,21 @@ def _wrappers(page: _Page, lines: list[Line], heavy: np.ndarray) -> set[int]:
 
 
 def _tops(page: _Page, lines: list[Line], heavy: np.ndarray) -> set[int]:
-    """The article elements, or else the main elements, that hold the dense text: the fullest, and any half as full."""
+    """The article elements, or else the main elements, if they hold most of the dense text: the fullest, any half as
+    full, and their siblings, but for those that a class or id names another part."""
     for kind in ("article", "main"):
         held: dict[int, float] = {}
+        parents: dict[int, tuple[int, ...]] = {}
         for x, w in zip(lines, heavy, strict=True):
             own_region = next((n for n in x.path if page.regions.get(n) == kind), None)
             if own_region is not None and not x.framed:
                 held[own_region] = held.get(own_region, 0) + w
-        if held:
+                parents[own_region] = x.path[: x.path.index(own_region)]
+        if held and 2 * sum(held.values()) >= heavy.sum():
             most = max(held.values())
-            return {n for n, w in held.items() if 2 * w >= most}
+            chosen = {n for n, w in held.items() if 2 * w >= most}
+            beside = {parents[n] for n in chosen}
+            return chosen | {n for n in held if n in page.around and parents[n] in beside}
     return set()
 
 

@@ -163,6 +163,23 @@ def test_main_text_inside_wrappers_with_names_of_parts():
     assert html_text.main_text(f"<body><article>{story}</article>{side * 9}{comments}</body>") == f"Head\n\n{p}\n\nYes.\n\n{p}"
 
 
+def test_main_text_next_to_article_teasers():
+    """Articles are the region only if they hold most of the dense text; smaller siblings and lists of links stay."""
+    p = "A paragraph with a good many words, so that it is plainly the text that readers came for, and nothing else."
+    story, want = f"<h1>Head</h1><p>{p}<p>Yes.<p>{p}" + f"<p>{p}" * 8, f"Head\n\n{p}\n\nYes." + f"\n\n{p}" * 9
+    for teaser in ("<article class='card'><a href=x>More of the same</a></article>", "<article>Short teaser</article>"):
+        for inner in ("<main>{0}</main>", "<div>{0}</div>"):
+            for page in (f"{inner.format(story)}<div>{teaser}</div>", f"<div>{teaser}</div>{inner.format(story)}"):
+                assert html_text.main_text(f"<body>{page}</body>") == want, (teaser, inner)
+    small = f"<article><h2>Second</h2><p>{p}</article>"
+    assert html_text.main_text(f"<body><div><article>{story}</article>{small}</div></body>") == f"{want}\n\nSecond\n\n{p}"
+    assert html_text.main_text(f'<body><div><article>{story}</article><article class="related">{p}</article></div></body>') == want
+    links = "<ul><li><a href=1>A first source</a><li><a href=2>A second source</a></ul>"
+    nav = "<div><a href=a>Alpha</a> <a href=b>Beta</a></div>"
+    assert html_text.main_text(f"<body>{nav}<div>{story}{links}</div>{nav}</body>") == f"{want}\n\nA first source\n\nA second source"
+    assert html_text.main_text(f"<body>{nav}{story}<p><a href=1>A first source</a><p>{p}<p>{p}<p>{p}{nav}</body>") == f"{want}\n\nA first source" + f"\n\n{p}" * 3
+
+
 def test_extract_text_frames(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", "<p>" + "long " * 20000)], "page_id long, url string, html string").withColumn("text", F.lit(7))
     got = html_text.extract_text(df)
