@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,9 @@ def part(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows_per_class: int = 3000, max_bytes: int = 48 << 20, steps: int = 600, seed: int = 7) -> Model:
     """Fits a model to labels of rows whose crc32(id as text) modulo 4 is not 2.
 
-    The sample is bounded: at most rows_per_class rows of each label, in the order of a hash of the id, until their texts
-    have max_bytes together; whole texts, none cut. Several labels of one id count as their maximum; null labels, null
-    ids and ids without a document are ignored. Of rows that share an id the least text is taken. Without rows of both labels the model scores every text alike, by the
+    The sample is bounded: at most rows_per_class rows of each label, in the order of a hash of the id, whose texts have at
+    most max_bytes together; whole texts, none cut, and one that doesn't fit into the rest is passed over. Several labels of one id count as their maximum; null labels, null
+    ids and ids without a document are ignored. Of rows that share an id the least text is taken. Without rows of both labels, or where those of one label are all too long, the model scores every text alike, by the
     share of label 1.
     """
     marks = labels.select(own(id_col).alias("id"), own(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -127,16 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     model = _fresh(np.random.default_rng(seed))
-    if min(counts.get(0, 0), counts.get(1, 0)) == 0:
+    sized = usable.select("id", "y", "size", F.xxhash64("id").alias("h"))
+    both = [sized.where(F.col("y") == y).orderBy("h").limit(rows_per_class).collect() if counts.get(1 - y) else [] for y in (0, 1)]
+    chosen = _within(both, max_bytes)
+    if len({y for _, y in chosen}) < 2:
         model.weights[:] = 0
         model.shift = float(np.log(prior / (1 - prior)))
         return model
-    sized = usable.select("id", "y", "size", F.xxhash64("id").alias("h"))
-    chosen, left = [], max_bytes
-    both = [iter(sized.where(F.col("y") == y).orderBy("h").limit(rows_per_class).collect()) for y in (0, 1)]
-    for pair in zip(*both, strict=False):  # alternate, so that the byte bound takes from both labels
-        chosen += [(r["id"], r["y"]) for r in pair if (left := left - (r["size"] or 0)) >= 0]
-    chosen += [(r["id"], r["y"]) for rows in both for r in rows if (left := left - (r["size"] or 0)) >= 0]
     picked = docs.sparkSession.createDataFrame(sorted(set(chosen)), T.StructType([T.StructField("id", usable.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
     lang = own(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(own(id_col).alias("id"), own(text_col).alias("text"), lang.alias("lang"))
@@ -156,6 +154,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def _within(both: list[list], left: int) -> list[tuple[object, int]]:
+    """Ids and labels of the rows whose texts fit together into so many bytes; in turns, so that the bound takes from both labels."""
+    chosen = []
+    for r in (r for pair in zip_longest(*both) for r in pair if r is not None):
+        if (size := r["size"] or 0) <= left:
+            chosen.append((r["id"], r["y"]))
+            left -= size
+    return chosen
+
+
 def _fresh(draw: np.random.Generator) -> Model:
     table = (draw.standard_normal((1 << BUCKET_BITS, DIM)) * 0.05).astype(np.float32)
     filters = {w: (draw.standard_normal((w, DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS}

@@ -110,6 +110,20 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert (a.table == b.table).all() and a.thresholds == b.thresholds and a.bias == b.bias
 
 
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    rows = labelled(300)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(i, "long " * 3000, "en") for i in range(1000, 1040)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(i, i % 2) for i in range(1000, 1040)], "doc_id long, toxic int")
+    without = toxicity.train(docs, labels.where("doc_id < 1000"), steps=20, max_bytes=100_000)
+    assert without.weights.any()
+    some = toxicity.train(docs, labels, steps=20, max_bytes=14_000)  # less than one of the long texts
+    assert some.weights.any()
+    none = toxicity.train(docs, labels, steps=20, max_bytes=0)
+    assert len({r["toxicity"] for r in toxicity.toxicity(docs, none).collect()}) == 1
+    sizes = [[{"id": 1, "y": 0, "size": 90}, {"id": 2, "y": 0, "size": 20}], [{"id": 3, "y": 1, "size": 200}, {"id": 4, "y": 1, "size": 10}, {"id": 5, "y": 1, "size": None}]]
+    assert toxicity._within(sizes, 100) == [(1, 0), (4, 1), (5, 1)]
+
+
 def test_toxicity_with_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0), (2, 0)]):
