@@ -4,10 +4,12 @@ A word's vector is the sum of three rows of one hashed table: of the whole word
 A-Z became lower case and ASCII punctuation at both ends went. Filters of 1, 2 and 3 words run over the whole text, the
 maximum of each over all places goes through a logistic unit. Only rows that occur more often with one label than with
 the other take part, and rows that no gradient reached are set to zero: a word that tells nothing, or that training
-didn't see, is neutral. Scores are calibrated to probabilities (Platt) on rows kept out of the fit, and a
-threshold for each language is chosen on the same rows; the language is no input of the score.
+didn't see, is neutral. Scores are calibrated to probabilities (Platt) on rows of the sample kept out of the fit, and a
+threshold for each language is chosen on all labelled rows that are neither fitted nor held out; the language is no
+input of the score.
 
-Training reads a bounded sample on the driver (see `train`); scoring is one pass over the documents without a shuffle.
+Training reads a bounded sample on the driver (see `train`) and counts the scores of the labelled rows by language and
+label on the executors; scoring is one pass over the documents without a shuffle.
 The model that goes to the executors has a fixed size of 8 MB.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources import scratch
+
 from . import words
 from .columns import own, packed, unpacked
 
@@ -37,6 +41,8 @@ START = 1e-5
 #: Documents of the fit that a row of the table must occur in to be used, and how far its shares of the documents of the
 #: two labels must lie apart, in standard errors.
 LEAST_DOCUMENTS, LEAST_Z = 3, 2.0
+#: Equal parts of the scores by which labelled rows are counted, and the rows of each label that a language must have.
+BINS, LEAST_ROWS = 1000, 10
 
 
 @dataclass
@@ -151,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     _fit(model, ids, sizes, y, fit, steps, np.random.default_rng(seed))
     check = np.flatnonzero(rows["part"].to_numpy() == 3)
     _calibrate(model, ids, sizes, y, check if len(set(y[check])) == 2 else fit, counts, np.array([x or "" for x in rows["lang"].to_pylist()]))
+    fitted = picked if len(fit) == len(y) else picked.where(part("id") != 3)
+    _set_thresholds(model, _score_counts(model, texts, marks.where(part("id") != 2), fitted), counts)
     return model
 
 
@@ -261,10 +269,48 @@ def _calibrate(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray,
     model.threshold = _threshold(score, t, weight)
     for name in set(lang[rows]):
         of = lang[rows] == name
-        if name and min((t[of] == 1).sum(), (t[of] == 0).sum()) >= 10:
+        if name and min((t[of] == 1).sum(), (t[of] == 0).sum()) >= LEAST_ROWS:
             model.thresholds[str(name)] = _threshold(score[of], t[of], weight[of])
 
 
+def _score_counts(model: Model, texts: DataFrame, marks: DataFrame, fitted: DataFrame) -> list[tuple[str, int, int, int]]:
+    """(language, label, part of the scores, rows) of the marked documents besides the fitted ones: for the empty string
+    all languages together, else those with LEAST_ROWS rows of each label. Texts are not shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    inner = texts.where(F.col("id").isNotNull() & (part("id") != 2)).select("id", "lang", "text")
+    schema = T.StructType([inner.schema["id"], inner.schema["lang"], T.StructField("bin", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = shared.value.scores(pa.chunked_array([b["text"]]))
+            at = np.minimum((score * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays([b["id"], b["lang"], pa.array(at, pa.int32())], names=["id", "lang", "bin"])
+
+    rows = inner.mapInArrow(run, schema).join(marks, "id").join(F.broadcast(fitted.select("id")), "id", "left_anti")  # at most 2 * rows_per_class ids
+    found = scratch.save(rows.groupBy("lang", "y", "bin").agg(F.count(F.lit(1)).alias("n")), "scores")
+    per_label = found.where("lang <> ''").groupBy("lang").agg(F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("n1"))
+    enough = per_label.where((F.col("n0") >= LEAST_ROWS) & (F.col("n1") >= LEAST_ROWS)).select("lang")
+    every = found.groupBy("y", "bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "y", "bin", "n")
+    out = every.unionByName(found.join(enough, "lang").select("lang", "y", "bin", "n")).collect()  # 2 * BINS rows a language at most
+    scratch.drop(found)
+    return [(r["lang"], r["y"], r["bin"], r["n"]) for r in out]
+
+
+def _set_thresholds(model: Model, found: list[tuple[str, int, int, int]], totals: dict[int, int]) -> None:
+    """The threshold of each language from counts of scores; those of the sample stay where a label has no such rows."""
+    counts: dict[str, np.ndarray] = {}
+    for name, y, at, n in found:
+        counts.setdefault(name, np.zeros((2, BINS)))[y, at] += n
+    every = counts.pop("", np.zeros((2, BINS)))
+    if not every.sum(1).all():
+        return
+    share = np.array([totals[0], totals[1]]) / every.sum(1)
+    middle, y = np.tile((np.arange(BINS) + 0.5) / BINS, 2), np.repeat([0, 1], BINS)
+    cut = lambda n: _threshold(middle[n.ravel() > 0], y[n.ravel() > 0], (n * share[:, None]).ravel()[n.ravel() > 0])
+    model.threshold = cut(every)
+    model.thresholds = {name: cut(n) for name, n in counts.items()}
+
+
 def _threshold(score: np.ndarray, t: np.ndarray, weight: np.ndarray) -> float:
     """The middle of the best cut: weighted F1 of label 1, ties to the value nearest the default, and never below it.
 
@@ -274,6 +320,8 @@ def _threshold(score: np.ndarray, t: np.ndarray, weight: np.ndarray) -> float:
     hits, picked = np.cumsum((weight * t)[order]), np.cumsum(weight[order])
     f1 = 2 * hits / (picked + (weight * t).sum())
     cuts = (score[order] + np.append(score[order][1:], 0)) / 2
+    last = np.append(score[order][1:] != score[order][:-1], True)  # rows of one score stay together
+    f1, cuts = f1[last], cuts[last]
     good = cuts[f1 >= f1.max() - 1e-9]
     return max(DEFAULT_THRESHOLD, float(good[np.abs(good - DEFAULT_THRESHOLD).argmin()]))
 

@@ -124,6 +124,24 @@ def test_toxicity_passes_over_texts_that_do_not_fit(spark):
     assert toxicity._within(sizes, 100) == [(1, 0), (4, 1), (5, 1)]
 
 
+def test_toxicity_thresholds_of_all_labelled_rows(spark):
+    """A language whose labelled rows are hardly in the sample has its own threshold; held out rows count for nothing."""
+    rows = [(i, text, "fr" if i % 16 < 2 else lang, y) for i, text, lang, y in labelled(900)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, steps=60, rows_per_class=30)
+    assert set(model.thresholds) == {"de", "en", "fr"}
+    fitted = spark.createDataFrame([(1,)], "id long")
+    marks = labels.selectExpr("doc_id as id", "toxic as y").where(toxicity.part("id") != 2)
+    found = toxicity._score_counts(model, docs.withColumnRenamed("doc_id", "id"), marks, fitted)
+    known = marks.where("id <> 1").count()
+    assert sum(n for name, _, _, n in found if name == "") == known == sum(n for name, _, _, n in found if name)
+    score = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity(docs, model).collect()}
+    assert all(0 <= at < toxicity.BINS for _, _, at, _ in found)
+    want = sum(score[r["id"]] >= 0.5 for r in marks.where("id <> 1").collect())
+    assert sum(n for name, _, at, n in found if name and at >= toxicity.BINS / 2) == want
+
+
 def test_toxicity_with_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0), (2, 0)]):
