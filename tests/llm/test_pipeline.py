@@ -47,6 +47,17 @@ def test_edges_of_the_stages(spark, small):
         assert stage(spark, docs.limit(0), small).collect() == []
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark, small):
+    """A copy takes only its own row away; another text of the same id stays."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = e.replace("e59", "other")
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, d), (3, d), (5, ""), (5, None), (6, e), (6, c), (7, near), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], spark.read.parquet(f"{small}/documents.parquet").schema)
+    for given in (docs, docs.orderBy(F.desc("text")).repartition(3)):
+        got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, given, small).collect()), key=repr)
+        assert got == sorted([(1, a), (2, b), (3, c), (3, d), (5, ""), (5, None), (6, e), (None, a)], key=repr)
+
+
 def test_run_equals_its_stages(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.select(F.sum("used")).first()[0] > 0
