@@ -1,11 +1,12 @@
 """Whole Arrow string columns as words: byte positions and 64-bit hashes, without a Python loop over words.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; UTF-8 never uses those bytes inside a character.
-The hash of bytes s..e is a polynomial modulo 2**64 with an odd base, read off prefix sums, then mixed.
+The hash of a word mixes its bytes in order, eight at a time; that of a run of words mixes theirs by doubling.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Text bytes worked on at once; temporaries take some 40 bytes for each.
+#: Text bytes worked on at once; temporaries take some 20 bytes for each.
 CHUNK = 1 << 19
+#: Bytes of a word from which on a digest is taken of it.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,52 +33,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Polynomial:
-    """Hashes of byte spans; another seed gives an independent function."""
+class Hash:
+    """64-bit hashes of byte spans and of runs of them; another seed gives an independent function.
 
-    def __init__(self, seed: int = 1):
-        self.symbol = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
-        self.base = int(mix(np.array([seed * 2 + 77], U))[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.backs = np.ones(1, U)
+    Eight bytes at a time go through `mix` together with what came before, so that no algebra of the bytes or of their
+    places survives, as it would in a polynomial. Words of up to eight bytes and of one length never collide.
+    """
 
-    def _tables(self, n: int) -> None:
-        if len(self.powers) <= n:
-            size = max(n + 1, CHUNK + 1)
-            for name, factor in (("powers", self.base), ("backs", self.inverse)):
-                table = np.full(size, factor, U)
-                table[0] = 1
-                setattr(self, name, np.multiply.accumulate(table))
+    def __init__(self, seed: int):
+        self.seed = mix(np.array([seed], U))[0]
+        self.key = int(self.seed).to_bytes(8, "little")
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._tables(len(data))
-        out = np.zeros(len(data) + 1, U)
-        np.cumsum(self.symbol[data] * self.powers[: len(data)], out=out[1:])
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        size = ends - starts
+        with np.errstate(over="ignore"):
+            out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + self.seed)
+        todo, done = slice(None), 0
+        while True:
+            left = size[todo] - done
+            block = eights[starts[todo] + done]
+            block &= U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(8) - np.minimum(left, 8).astype(U)))
+            out[todo] = mix(out[todo] ^ block)
+            done += 8
+            todo = np.flatnonzero((size > done) & (size <= LONG))
+            if not len(todo):
+                break
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
         return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * self.backs[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of two runs each as that of both, one after the other."""
+        x = a * U(0x9E3779B97F4A7C15)
+        x ^= x >> U(32)
+        x += b
+        x *= U(0xD6E8FEB86659FD93)
+        x ^= x >> U(29)
+        return x
 
     def windows(self, h: np.ndarray, width: int) -> np.ndarray:
         """The hash of each run of `width` word hashes, by doubling; len(h) - width + 1 values."""
         n = len(h) - width + 1
         if n <= 0:
             return np.empty(0, U)
-        out, power, have, step, step_power = None, U(1), 0, h, U(self.base)
-        with np.errstate(over="ignore"):
-            size = 1
-            while True:
-                if width & size:
-                    part = step[have : have + n]
-                    out = part.copy() if out is None else out * step_power + part
-                    have += size
-                if size * 2 > width:
-                    return mix(out)
-                step = step[: len(step) - size] * step_power + step[size:]
-                step_power, size = step_power * step_power, size * 2
+        out, have, step, size = None, 0, h, 1
+        while True:
+            if width & size:
+                part = step[have : have + n]
+                out = part if out is None else self.join(out, part)
+                have += size
+            if size * 2 > width:
+                return mix(out ^ self.seed)
+            step, size = self.join(step[: len(step) - size], step[size:]), size * 2
 
 
-FIRST, SECOND = Polynomial(1), Polynomial(2)
+FIRST, SECOND = Hash(1), Hash(2)
 
 
 @dataclass
@@ -91,8 +104,8 @@ class Chunk:
     text: np.ndarray  # number of each word's text, from 0
     counts: np.ndarray  # words of each text
 
-    def hashes(self, kind: Polynomial = FIRST) -> np.ndarray:
-        return kind.spans(kind.prefix(self.data), self.starts, self.ends)
+    def hashes(self, kind: Hash = FIRST) -> np.ndarray:
+        return kind.spans(self.data, self.starts, self.ends)
 
     def within(self, width: int) -> np.ndarray:
         """For each start of `width` words of the chunk, whether they lie in one text."""
