@@ -102,3 +102,9 @@ def copies(seed=3, groups=10):
             texts.append(" ".join(w))
     draw.shuffle(texts)
     return list(enumerate(texts))
+
+
+def thue_morse(letters=2048, a="a", b="b"):
+    """A word and its complement that a polynomial hash modulo a power of two can't tell apart, whatever its base."""
+    word = "".join((a, b)[bin(i).count("1") % 2] for i in range(letters))
+    return word, word.translate(str.maketrans(a + b, b + a))

@@ -83,6 +83,49 @@ def test_boundary_similarity(spark, words, own, percent):
     assert (got[1][2] == 1) == (words - 4 == percent)
 
 
+@pytest.mark.parametrize("letters", [16, 128, 2048])
+def test_words_that_polynomials_confuse(spark, letters):
+    one, two = fx.thue_morse(letters)
+    same = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{one} {same}"), (2, f"{two} {same}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup(df).collect()} == {0}
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
+def test_runs_of_words_that_polynomials_confuse():
+    """The same pattern made of two words: all windows of both orders differ."""
+    one, two = ([{"a": 1, "b": 2}[x] for x in w] for w in fx.thue_morse(2048))
+    h = words.mix(np.arange(3, dtype=np.uint64))
+    for width in (2, 32, 35, 1024, 2048):
+        a, b = (words.FIRST.windows(h[np.array(x)], width) for x in (one, two))
+        want = {tuple(one[i : i + width]) for i in range(2048 - width + 1)} | {tuple(two[i : i + width]) for i in range(2048 - width + 1)}
+        assert len(set(a.tolist()) | set(b.tolist())) == len(want)
+
+
+def test_many_unlike_sets_in_one_group():
+    """A hundred thousand short sets that a chain of keys joins to one group: a lookup for each, no comparison of all pairs.
+    Texts share two fifths of their words, so that they meet often; each tenth has a copy with one word less."""
+    shared, n = " ".join(f"s{i}" for i in range(14)), 100_000
+    texts = [f"{shared} " + " ".join(f"u{i}x{j}" for j in range(20)) for i in range(n)]
+    texts = [t if i % 10 else " ".join(texts[i + 1].split()[:-1]) for i, t in enumerate(texts)]
+    table = pa.table({"node": np.arange(n), "text": pa.array(texts)})
+    got = minhash_dedup._settle(table, 85, 5)["component"].to_numpy()
+    want = np.arange(n)
+    want[1::10] = want[::10]
+    assert (got == want).all()
+
+
+def test_groups_are_dealt_by_members_and_by_shingles(spark):
+    """Groups over either bound go through blocks; rows that share an id or repeat are documents of their own."""
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join([f"t{j}" if draw.random() > 0.02 else f"o{draw.integers(99)}" for j in range(60)])) for i in range(150)]
+    rows += [(3, "one more text of this id, " * 3), rows[5], rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bounds in ({"task_sets": 20}, {"task_shingles": 800}, {}):
+        assert sorted(map(tuple, minhash_dedup.near_duplicates(df, percent=80, **bounds).collect())) == sorted(fx.near(rows, 80))
+
+
 def test_pack_against_the_optimum():
     costs = {4: 4.0, 6: 6.0, 8: 8.0}
     place, capacity, used = packing.pack([8, 4, 4, 3, 3, 2], costs)
