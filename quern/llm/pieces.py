@@ -41,7 +41,8 @@ MATRIX, REMEMBERED, LONG = 100_000, 200_000, 256
 #: Text bytes whose units exist as Python strings at once: some 20 bytes for each.
 TEXT_BYTES = 2 << 20
 FLAG_BITS = 20
-BASE, NONE = words.FIRST.base, np.float32(-np.inf)
+#: Base of the polynomial over the code points of a piece: pieces are far shorter than what such a sum can't tell apart.
+BASE, NONE = int(words.FIRST.seed) | 1, np.float32(-np.inf)
 
 
 @dataclass

@@ -106,8 +106,7 @@ def features(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(4):
         starts += PUNCTUATION[c.data[starts]] & (ends - starts > 1)
         ends -= PUNCTUATION[c.data[ends - 1]] & (ends - starts > 1)
-    prefix = words.FIRST.prefix(c.data)
-    spans = [words.FIRST.spans(prefix, starts, ends), *(words.FIRST.spans(prefix, starts, np.minimum(starts + n, ends)) + np.uint64(n) for n in PREFIXES)]
+    spans = [words.FIRST.spans(c.data, starts, ends), *(words.FIRST.spans(c.data, starts, np.minimum(starts + n, ends)) + np.uint64(n) for n in PREFIXES)]
     return np.stack([(words.mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for h in spans]), c.counts
 
 
