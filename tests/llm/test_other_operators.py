@@ -212,6 +212,57 @@ def test_main_text_next_to_article_teasers():
     assert html_text.main_text(f"<body>{nav}{story}<p><a href=1>A first source</a><p>{p}<p>{p}<p>{p}{nav}</body>") == f"{want}\n\nA first source" + f"\n\n{p}" * 3
 
 
+LONG = "A paragraph with a good many words, so that it is plainly the text that readers came for, and nothing else."
+
+
+def test_main_text_drops_no_content():
+    """Headings, sections, link lists, formulas and short articles that a list of words could take for something else."""
+    inside = [
+        ('<h2 id="results-and-discussion">Results and Discussion</h2>', ["Results and Discussion"]),
+        ('<h2 id="how-to-share-a-menu">How to share a menu</h2>', ["How to share a menu"]),
+        (f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section>', ["Discussion", LONG]),
+        (f'<section id="our-menu"><h2>Our menu</h2><p>{LONG}</p></section>', ["Our menu", LONG]),
+        (f'<div class="post-header"><p>{LONG}</p></div><p class="notice">Note.</p>', [LONG, "Note."]),
+        (f'<div class="recommended-reading-of-the-week"><p>{LONG}</p></div>', [LONG]),
+        ('<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="t">x=2</annotation></math> holds.</p>', ["So x=2 holds."]),
+        ('<p><a href=1>A source of links</a> and <a href=2>another of these</a></p>', ["A source of links and another of these"]),
+        ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", ["One", "Two"]),
+    ]
+    outside = '<nav><a href=1>Home</a></nav><div class="ad-slot"><p>Buy this now, it is the best.</p></div><div id="comments"><h2>Comments</h2><div class="comment"><p>First!</p></div></div>'
+    for wrap in ("<article><h1>Head</h1><p>{p}</p>{x}<p>{p}</p></article>", "<main><h1>Head</h1><p>{p}</p>{x}<p>{p}</p></main>", '<div id="wrap"><h1>Head</h1><p>{p}</p>{x}<p>{p}</p></div>'):
+        for markup, texts_of in inside:
+            page = f"<body>{outside}{wrap.format(p=LONG, x=markup)}<footer>End</footer></body>"
+            assert html_text.main_text(page).split("\n\n") == ["Head", LONG, *texts_of, LONG], (wrap, markup)
+    two = f"<body><article><h1>Head</h1>{f'<p>{LONG}</p>' * 9}</article><article><h2>Second</h2><p>Short one, but it is a story.</p></article></body>"
+    assert html_text.main_text(two).split("\n\n") == ["Head", *[LONG] * 9, "Second", "Short one, but it is a story."]
+    assert html_text.main_text(f"<body><div><p><a href=1>Only a link, but a paragraph of its own</a></p><p>{LONG}</p><p>{LONG}</p></div></body>").startswith("Only a link")
+    assert html_text.main_text(f"<form><div id=top>Menu</div><article><h1>Head</h1><p>{LONG}</p></article><input></form>") == f"Head\n\n{LONG}"
+
+
+def test_main_text_of_generated_pages():
+    """Pages put together at random from known parts of the article and known other parts."""
+    draw, right, found, wanted = random.Random(12), 0, 0, 0
+    for _ in range(300):
+        body = [("<h1>Title of it</h1>", "Title of it")]
+        for i in range(draw.randint(2, 12)):
+            words_of = " ".join(draw.choice(["word", "longer", "of", "text", "reading"]) for _ in range(draw.choice([1, 4, 30, 80])))
+            kind = draw.choice(["<p>{0}</p>", "<p>{0}", "<h2 id=share-{1}>{0}</h2>", "<blockquote><p>{0}</p></blockquote>", "<ul><li>{0}</ul>", "<div class=figure-wide><p>{0}</p></div>", "<p><b>{0}<br></p>", "<pre>{0}</pre>"])
+            body.append((kind.format(words_of, i), words_of))
+        noise = ["<nav><ul><li><a href=1>Home</a><li><a href=2>News of today</a></ul></nav>", "<header><h2>Site</h2></header>", "<nav>Menu</nav>", "<aside><p>" + "side text " * 20 + "</aside>", "<div class=cookie-banner><p>We use cookies</p></div>", "<div id=sidebar><p>" + "about us " * 9 + "</p></div>", "<form><label>Mail</label><input></form>", "<div class='ad ad-top'>Buy</div>", "<section class=comments><p>" + "great post " * 9 + "</p></section>", "<ul class=share-buttons><li>Share</ul>", "<script>var x = '<p>no</p>'</script>"]
+        wrap = draw.choice(["<article>{0}</article>", "<main><article class='post has-sidebar'>{0}</article></main>", "<main>{0}</main>", "<div class=content><div class=text>{0}</div></div>", "<div class=page-with-sidebar><article>{0}</article></div>"])
+        inner = "".join(m + (draw.choice(noise[2:]) if draw.random() < 0.2 else "") for m, _ in body)
+        page = "<!DOCTYPE html><html><head><title>T</title></head><body>" + "".join(draw.sample(noise, 3)) + wrap.format(inner) + "".join(draw.sample(noise, 3)) + "<footer>&copy; x</footer></body></html>"
+        got, want = html_text.main_text(page).split("\n\n"), [t for _, t in body]
+        right, found, wanted = right + sum(t in want for t in got), found + len(got), wanted + len(want)
+    assert right / found > 0.99 and right / wanted > 0.99
+
+
+def test_main_text_is_linear_in_nesting():
+    for deep in ("<div>a" * 100_000, "<div class=ad>a" * 50_000, "<center>a<p>" * 50_000, "<ul><li>a" * 50_000, "<article>a" * 50_000, "</p></div>a" * 50_000):
+        assert len(html_text.main_text(deep)) < 400_000
+    assert html_text.main_text("<div>a" * 3) == "a\n\na\n\na"
+
+
 def test_extract_text_frames(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (3, "v", "<p>" + "long " * 20000)], "page_id long, url string, html string").withColumn("text", F.lit(7))
     got = html_text.extract_text(df)
