@@ -34,6 +34,9 @@ PROJECTED, CONFIDENCE, LEAF = 8, 0.99, 128
 #: bytes each).
 CELL, SAMPLE, CELLS = 8192, 20_000, 4096
 
+#: More than rounding can move a projection, as a share of its size: vectors as near as the test allows stay candidates.
+SLACK = 1e-9
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -113,50 +116,63 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
     queries: rows of df to search for, by their id_col (all of df by default). Returns (query_id, rank int from 1, vec_id,
     score double), nearest first, ties to the smaller id; fewer rows a query if df has fewer.
 
-    Vectors that are null, zero, of another number of components than most, or that hold null or non-finite components
-    take no part, nor do rows with a null id. Repeated rows (same id, same vector) count once;
-    ids are unique otherwise. An empty table gives an
-    empty table. Columns besides the two are not read.
+    Vectors that are null, zero, or that hold null or non-finite components take no part, nor do rows with a null id;
+    others are near vectors of as many components (there is a pass for each number of components that occurs). Repeated
+    rows (same id, same vector) count once; ids are unique otherwise. An empty table gives an empty table. Columns
+    besides the two are not read.
     """
-    spark, dim = df.sparkSession, vectors.dimension(df, vector_col)
-    directions = np.random.default_rng(seed).standard_normal((dim, projected))
-    base = df.select(own(id_col).cast("long").alias("id"), own(vector_col).alias("vector"))
-    points = base.where("id is not null").dropDuplicates(["id", "vector"])
-    points = scratch.save(points.mapInArrow(lambda b: _project(b, dim, directions), "id long, vector binary, point binary"), "points")
+    base = df.select(own(id_col).cast("long").alias("id"), own(vector_col).alias("vector")).where("id is not null")
+    wanted = None if queries is None else queries.select(own(id_col).cast("long").alias("id")).distinct()
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in vectors.dimensions(df, vector_col):
+        out = out.union(_search(base.where(F.size("vector") == dim), wanted, dim, k, confidence, projected, cell_rows, seed))
+    return out
+
+
+def _search(base: DataFrame, wanted: DataFrame | None, dim: int, k: int, confidence: float, projected: int, cell_rows: int, seed: int) -> DataFrame:
+    """The answers among vectors of `dim` components."""
+    directions, kind = np.random.default_rng(seed).standard_normal((dim, projected)), vectors.stored(base, "vector")
+    points = base.dropDuplicates(["id", "vector"]).mapInArrow(lambda b: _project(b, dim, kind, directions), "id long, vector binary, point binary")
+    points = scratch.save(points, "points")
     total = points.count()
     sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("point").toArrow()
     cuts = Cuts(vectors.rows_of(sample["point"], projected), min(int(math.log2(CELLS)), max(0, math.ceil(math.log2(max(1, total / cell_rows))))))
-    wanted = points.withColumn("asks", F.lit(True)) if queries is None else points.join(queries.select(own(id_col).cast("long").alias("id")).distinct().withColumn("asks", F.lit(True)), "id", "left")
+    asked = points.withColumn("asks", F.lit(True)) if wanted is None else points.join(wanted.withColumn("asks", F.lit(True)), "id", "left")
     coordinates = ", ".join(f"p{i} double" for i in range(projected))
-    placed = wanted.mapInArrow(lambda b: _place(b, cuts, projected), f"id long, vector binary, point binary, asks boolean, cell int, {coordinates}")
+    placed = asked.mapInArrow(lambda b: _place(b, cuts, projected), f"id long, vector binary, point binary, asks boolean, cell int, {coordinates}")
     placed = scratch.save(placed, "placed")
+    scratch.drop(points)
     bounds = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("splits"), *(f(f"p{i}").alias(f"{n}{i}") for i in range(projected) for n, f in (("lo", F.min), ("hi", F.max))))
     bounds = scratch.save(bounds, "bounds")  # CELLS rows at most
     split = F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")
     dealt = placed.join(F.broadcast(bounds.select("cell", "splits")), "cell").withColumn("split", split)
     rows = dealt.select("cell", "split", "id", "vector", "point", F.coalesce("asks", F.lit(False)).alias("asks"), F.lit(float("inf")).alias("radius"), F.lit(True).alias("member"))
     widen = chi_square_quantile(confidence, projected)
-    answer = lambda t: _answer(t, dim, projected, k, widen)
+    answer = lambda t: _answer(t, dim, kind, projected, k, widen)
     first = scratch.save(rows.groupBy("cell", "split").applyInArrow(answer, FOUND), "first")
     radius = first.groupBy("query_id").agg(F.when(F.count("vec_id") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("found"))
     asking = dealt.where("asks").join(radius, F.col("id") == F.col("query_id"), "left").withColumn("radius", F.coalesce("found", F.lit(float("inf"))))
     located = asking.select("id", "vector", "point", "radius", F.col("cell").alias("home"), F.col("split").alias("home_split"), *(f"p{i}" for i in range(projected)))
     gap = [F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"p{i}"), F.col(f"p{i}") - F.col(f"hi{i}")) for i in range(projected)]
     # A stated query set against a bounded number of boxes: each query keeps the cells that its test can't rule out.
-    visits = located.join(F.broadcast(bounds), sum((g * g for g in gap), F.lit(0.0)) <= F.col("radius") * F.col("radius") * F.lit(widen))
+    size = sum((F.abs(f"p{i}") for i in range(projected)), F.lit(0.0))
+    apart = sum((g * g for g in gap), F.lit(0.0))
+    visits = located.join(F.broadcast(bounds), F.sqrt(apart) <= F.col("radius") * math.sqrt(widen) + size * SLACK)
     visits = visits.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).where("cell <> home or split <> home_split")
-    visits = visits.select("cell", "split", "id", "vector", "point", F.lit(True).alias("asks"), "radius", F.lit(False).alias("member"))
-    hosts = rows.withColumn("asks", F.lit(False))
+    visits = scratch.save(visits.select("cell", "split", "id", "vector", "point", F.lit(True).alias("asks"), "radius", F.lit(False).alias("member")), "visits")
+    visited = visits.select("cell", "split").distinct()
+    hosts = rows.withColumn("asks", F.lit(False)).join(visited, ["cell", "split"], "left_semi").select(rows.columns)
     second = hosts.union(visits).groupBy("cell", "split").applyInArrow(answer, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = first.union(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = scratch.save(first.union(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+    scratch.drop(placed, bounds, first, visits)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _project(batches: Iterator[pa.RecordBatch], dim: int, directions: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _project(batches: Iterator[pa.RecordBatch], dim: int, kind: type, directions: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, good = vectors.matrix(b["vector"], dim)
-        yield pa.RecordBatch.from_arrays([b["id"].filter(pa.array(good)), vectors.binaries(x[good]), vectors.binaries(x[good] @ directions)], names=["id", "vector", "point"])
+        yield pa.RecordBatch.from_arrays([b["id"].filter(pa.array(good)), vectors.binaries(x[good], kind), vectors.binaries(np.einsum("ij,jk->ik", x[good], directions))], names=["id", "vector", "point"])
 
 
 def _place(batches: Iterator[pa.RecordBatch], cuts: Cuts, projected: int) -> Iterator[pa.RecordBatch]:
@@ -165,30 +181,33 @@ def _place(batches: Iterator[pa.RecordBatch], cuts: Cuts, projected: int) -> Ite
         yield pa.RecordBatch.from_arrays([b["id"], b["vector"], b["point"], b["asks"], pa.array(cuts.cell(p), pa.int32()), *(pa.array(p[:, i]) for i in range(projected))], names=["id", "vector", "point", "asks", "cell", *(f"p{i}" for i in range(projected))])
 
 
-def _answer(table: pa.Table, dim: int, projected: int, k: int, widen: float) -> pa.Table:
+def _answer(table: pa.Table, dim: int, kind: type, projected: int, k: int, widen: float) -> pa.Table:
     """The k nearest members of a cell for each row that asks, found by growing projected distance until the test holds."""
     member, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("member", "asks"))
     ids, radius = table["id"].to_numpy(), table["radius"].to_numpy()
-    x, p = vectors.rows_of(table["vector"], dim), vectors.rows_of(table["point"], projected)
+    x, p = vectors.rows_of(table["vector"], dim, kind), vectors.rows_of(table["point"], projected)
     own_ids, own_x, own_p = ids[member], x[member], p[member]
-    tree = Tree(own_p, LEAF)
+    tree, root = Tree(own_p, LEAF), math.sqrt(widen)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q in np.flatnonzero(asks):
         limit, best_d, best_id = radius[q], np.empty(0), np.empty(0, np.int64)
+        slack = SLACK * np.abs(p[q]).sum()
+        reach = (limit * root + slack) ** 2
         gaps = tree.gaps(p[q]) if len(tree.leaves) else np.empty(0)
         order = np.argsort(gaps, kind="stable")
         step, i = 1, 0
-        while i < len(order) and gaps[order[i]] <= limit * limit * widen:
+        while i < len(order) and gaps[order[i]] <= reach:
             # Leaves come in growing groups; the test is made between groups, and for single rows within them.
             rows = np.concatenate([tree.leaves[j] for j in order[i : i + step]])
             i, step = i + step, min(2 * step, 16)
-            rows = rows[(((own_p[rows] - p[q]) ** 2).sum(1) <= limit * limit * widen) & (own_ids[rows] != ids[q])]
+            rows = rows[(((own_p[rows] - p[q]) ** 2).sum(1) <= reach) & (own_ids[rows] != ids[q])]
             d = np.sqrt(((own_x[rows] - x[q]) ** 2).sum(1))
             d, i_all = np.concatenate([best_d, d]), np.concatenate([best_id, own_ids[rows]])
             keep = np.lexsort((i_all, d))[:k]
             best_d, best_id = d[keep], i_all[keep]
             if len(best_d) == k:
                 limit = min(limit, best_d[-1])
+                reach = (limit * root + slack) ** 2
         out.append((np.full(len(best_d), ids[q]), best_id, best_d))
     parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})

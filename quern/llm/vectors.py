@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import own
 
@@ -34,21 +35,26 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1)
 
 
-def dimension(df: DataFrame, vector_col: str) -> int:
-    """The most frequent number of components (the smaller of equally frequent ones); 1 if there is no vector."""
+def dimensions(df: DataFrame, vector_col: str) -> list[int]:
+    """The numbers of components that vectors have, by falling frequency: one row each, whatever the number of vectors."""
     sizes = df.groupBy(F.size(own(vector_col)).alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 0")
-    found = sizes.orderBy(F.desc("n"), "d").first()
-    return found["d"] if found else 1
+    return [r["d"] for r in sizes.orderBy(F.desc("n"), "d").collect()]
 
 
-def rows_of(values: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Binary values of `width` doubles as a matrix."""
+def stored(df: DataFrame, vector_col: str) -> type:
+    """What components are stored as where rows are sent: as they are given, if that is single precision."""
+    kind = df.select(own(vector_col)).schema[0].dataType
+    return np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
+
+
+def rows_of(values: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
+    """Binary values of `width` numbers as a matrix of doubles."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    return np.frombuffer(b"".join(x.as_buffer() for x in values), np.float64).reshape(-1, width) if len(values) else np.zeros((0, width))
+    return np.frombuffer(b"".join(x.as_buffer() for x in values), kind).reshape(-1, width).astype(np.float64, copy=False) if len(values) else np.zeros((0, width))
 
 
-def binaries(x: np.ndarray) -> pa.Array:
-    data, width = np.ascontiguousarray(x, np.float64).tobytes(), x.shape[1] * 8
+def binaries(x: np.ndarray, kind: type = np.float64) -> pa.Array:
+    data, width = np.ascontiguousarray(x, kind).tobytes(), x.shape[1] * np.dtype(kind).itemsize
     bounds = np.arange(0, len(data) + 1, width, dtype=np.int32) if width else np.zeros(len(x) + 1, np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])

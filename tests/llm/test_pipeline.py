@@ -79,5 +79,16 @@ def test_other_queries_run(name, spark, small):
     assert queries.queries()[name](spark, small).count() > 0
 
 
+def test_nearest_neighbours_query_against_all_distances(spark, small, duck):
+    """Whole query and table: recall against every distance, exact scores, order and ties."""
+    found = duck.execute("""SELECT q.vec_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), z -> (z[1] - z[2]) * (z[1] - z[2])))) AS d
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id) <= 10""").fetchall()
+    want = {(q, c): d for q, c, d in found}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in queries.op6_nearest_neighbours(spark, small).collect()}
+    assert len(got) == len(want) and {q for q, _ in got} == {q for q, _ in want}
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(s == pytest.approx(want[k], rel=1e-12) for k, s in got.items() if k in want)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))

@@ -77,6 +77,44 @@ def test_ties_and_one_hot_cell(spark):
     assert [r["vec_id"] for r in got] == list(range(10)) and {r["score"] for r in got} == {0.0}
 
 
+def test_equal_vectors_in_batches_of_all_sizes(spark):
+    """1,001 equal vectors, dealt so that projections are computed in batches of a thousand and of one."""
+    row = np.random.default_rng(3).standard_normal(64).tolist()
+    df = spark.createDataFrame([(i, row) for i in range(1001)], "vec_id long, embedding array<double>").coalesce(1)
+    got: dict = {}
+    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 100 = 0"), cell_rows=300).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 1001, 100):
+        assert [(v, s) for _, v, s in sorted(got[q])] == [(v, 0.0) for v in range(11) if v != q][:10], q
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each among those of as many components, whichever length is the more frequent."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, [2.0]), (5, [-1.0]), (6, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (None, None)]
+    for given in (rows, rows[2:] + rows[:2] + [(7, [0.0, 1.0]), (8, [0.0, 1.1])]):
+        df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: tuple(r)[1:] for r in embedding_duplicates(df).where("vec_id is not null").collect()}
+        assert [got[i] for i in range(1, 7)] == [(1, 1, True), (1, 1, False), (1, 3, True), (1, 3, False), (0, 5, True), (0, 6, True)]
+        assert embedding_duplicates(df).where("vec_id is null").count() == 2
+        near = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest_neighbours(df, df.where("vec_id in (1, 3, 6)")).collect()}
+        assert near[1, 1] == 2 and near[3, 1] == 4 and near[3, 2] == 5 and (3, 3) not in near and (6, 1) not in near
+
+
+def test_intervals_of_clustered_vectors_are_skipped(spark, caplog):
+    """Vectors whose variance is on few axes: most pairs of intervals are skipped, and rows go to few of them."""
+    draw = np.random.default_rng(9)
+    centres = draw.standard_normal((40, 3)) * 4
+    x = np.concatenate([centres[draw.integers(40, size=3000)], draw.standard_normal((3000, 13)) * 0.3], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger="quern.llm.embedding_dedup"):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_duplicates(df, cosine=0.98, interval=64, leaf=16).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert [got[i] for i in range(3000)] == links.tolist() and links.sum() > 1000
+    total, intervals, kept, every, copies = caplog.records[-1].args
+    assert kept < 0.4 * every and copies < 0.25 * total * intervals
+
+
 def test_chi_square():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507313, abs=1e-5)
     assert neighbours.chi_square_quantile(0.5, 2) == pytest.approx(1.386294, abs=1e-5)
