@@ -25,33 +25,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, similarity 0.8 on five words. A document is an id with
-    a text: rows equal in both count once, other texts of the same id are documents of their own."""
+    """One row of each group of near duplicates, similarity 0.8 on five words: that of the smallest id, of such rows the
+    one whose values have the smallest digest. Rows are told apart by a number, so that rows that share an id are
+    documents of their own, and rows without an id, which come last in a group, are found too. Rows equal in id and text
+    count once, also where the text has no words."""
     session.prepare(spark)
-    known = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__text"))
-    clashing = scratch.save(known.groupBy("doc_id").agg(F.min("__text").alias("__least"), F.max("__text").alias("__most")).where("__least <> __most"), "clashing")
-    keyed = docs.withColumn("__key", F.col("doc_id"))
-    if clashing.isEmpty():
-        found = near_duplicates(docs, percent=80)
-        gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__key")).distinct()
-        again = found.where("kept").select(F.col("doc_id").alias("__key"))
-    else:
-        top = known.agg(F.max("doc_id")).first()[0] + 1
-        others = known.join(clashing, "doc_id").where("__text <> __least").select("doc_id", "__text").distinct()
-        others = scratch.save(others.withColumn("__new", F.monotonically_increasing_id() + F.lit(top)), "others")
-        texts = docs.withColumn("__text", F.xxhash64("text")).join(others, ["doc_id", "__text"], "left")
-        keyed = scratch.save(texts.select(*docs.columns, F.coalesce("__new", "doc_id").alias("__key")), "keyed")
-        found = near_duplicates(keyed, id_col="__key", percent=80).where("__key is not null").select("__key", "component_id")
-        found = scratch.save(found.join(others.select(F.col("__new").alias("__key"), "doc_id"), "__key", "left").withColumn("doc_id", F.coalesce("doc_id", "__key")), "found")
-        first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key"))["__key"].alias("__first"))
-        gone = found.join(first, "component_id").where("__key <> __first").select("__key").distinct()
-        again = found.select("__key")
-    left = keyed.join(gone, "__key", "left_anti")
-    repeated = scratch.save(again.groupBy("__key").count().where("count > 1").select("__key"), "repeated")
-    if not repeated.isEmpty():
-        once = left.join(repeated, "__key", "left_semi").select(left.columns).dropDuplicates(["__key"])
-        left = left.join(repeated, "__key", "left_anti").select(left.columns).unionByName(once)
-    return left.select(docs.columns)
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")), "numbered")
+    found = near_duplicates(numbered.select("__row", F.col("__doc.text").alias("text")), id_col="__row", percent=80)
+    rank = F.struct(F.col("__doc.doc_id").isNull(), "__doc.doc_id", F.xxhash64("__doc.text"), F.xxhash64("__doc"), "__row").alias("__rank")
+    group = F.struct(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("a"), *[F.when(F.col("n_shingles") == 0, x) for x in (F.col("__doc.doc_id"), F.col("__doc.doc_id").isNull(), F.col("__doc.text").isNull(), F.xxhash64("__doc.text"))]).alias("__group")
+    ranked = numbered.select("__row", "__doc.doc_id", rank, "__doc").join(found.select("__row", "n_shingles", "component_id"), "__row").select(group, "__rank")
+    first = scratch.save(ranked.groupBy("__group").agg(F.min("__rank").alias("__rank")).select("__rank.__row"), "first")
+    return numbered.join(first, "__row", "left_semi").select("__doc.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
