@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Masters whose executors are in the driver's own process.
+LOCAL = re.compile(r"local(\[[^\]]*\])?")
+
 _written: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where it is unset (tests, one machine), a folder of our own."""
+    """spark.checkpoint.dir as the session has it; where it is unset, on one machine (as in tests) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
