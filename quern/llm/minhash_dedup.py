@@ -149,7 +149,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = scratch.save(keys.join(hubs, "key").where("node <> hub").groupBy("node", "hub").count(), "candidates")
     groups = connected_components(candidates, "node", "hub").withColumnRenamed("component", "grp")
     groups = scratch.save(groups.join(classes.select("node", "n", "id", "found"), "node"), "groups")
-    labels = scratch.save(_within_tasks(texts, groups, candidates, percent, shingle, task_shingles, task_sets), "labels")
+    labels, used = _within_tasks(texts, groups, candidates, percent, shingle, task_shingles, task_sets)
+    labels = scratch.save(labels, "labels")
+    scratch.drop(groups, candidates, *used)
     placed = classes.select("print", "id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     out = signed.select("id", "n_shingles", "print").join(placed.join(least, "component").select("print", "component_id"), "print", "left")
@@ -157,8 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _within_tasks(texts: DataFrame, groups: DataFrame, candidates: DataFrame, percent: int, shingle: int, task_shingles: int, task_sets: int) -> DataFrame:
-    """(node, component) of every class in a candidate group, from confirmed links only."""
+def _within_tasks(texts: DataFrame, groups: DataFrame, candidates: DataFrame, percent: int, shingle: int, task_shingles: int, task_sets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, component) of every class in a candidate group, from confirmed links only, and what was saved for it."""
     sizes = groups.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.greatest(F.col("total") / (task_shingles / 2), F.col("members") / (task_sets / 2))).cast("int")
     large = sizes.where((F.col("total") > task_shingles) | (F.col("members") > task_sets)).select("grp", blocks.alias("blocks"))
@@ -166,7 +168,7 @@ def _within_tasks(texts: DataFrame, groups: DataFrame, candidates: DataFrame, pe
     rows = _fetch(texts, groups.join(large.select("grp"), "grp", "left_anti").select("node", "grp", "id", "found"))
     labels = rows.groupBy("grp").applyInArrow(lambda t: _settle(t, percent, shingle), LABELS)
     if large.isEmpty():
-        return labels
+        return labels, [large]
     members = groups.join(large, "grp").select("node", "grp", "blocks", "n", "id", "found")
     rows = _fetch(texts, members).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = scratch.save(rows.select("node", "grp", "blocks", "block", "n", "text"), "members")
@@ -190,7 +192,7 @@ def _within_tasks(texts: DataFrame, groups: DataFrame, candidates: DataFrame, pe
     against = placed.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rest = _ask(loose.withColumn("block", every), against, columns, percent, shingle)
     linked = connected_components(star.union(rest), "a", "b")
-    return labels.union(linked)
+    return labels.union(linked), [large, rows, star]
 
 
 def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -69,7 +69,6 @@ class Vocabulary:
         # One flag for each value of a hash's first bits: most substrings of no piece need no search.
         self.begun = np.zeros(1 << FLAG_BITS, bool)
         self.begun[self.keys >> np.uint64(64 - FLAG_BITS)] = True
-        self.key_scores = np.array(self.scores, np.float32)[self.ids]
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = [-1] * 256
         for i, k in enumerate(self.kinds):
@@ -80,6 +79,7 @@ class Vocabulary:
         chars = "".join(map(re.escape, joined))
         self.unit = re.compile(f"{MARK}*[{chars}]+|{MARK}+|." if chars else f"{MARK}+|.", re.S)
         self.raw = [self._raw(i) for i in range(len(self.pieces))]
+        self.by_id = np.append(np.array(self.scores, np.float32), NONE)  # the last is that of no piece
         self.floor = np.float32(min((self.scores[i] for i in usable), default=0.0) - UNKNOWN_PENALTY)
 
     def _raw(self, i: int) -> bytes:
@@ -91,6 +91,14 @@ class Vocabulary:
             return " ⁇ ".encode()  # the library's surface of an unknown piece
         return self.pieces[i].replace(MARK, " ").encode()
 
+    def as_unigram(self) -> Vocabulary:
+        """The same pieces as a unigram model: a piece's log probability falls with the logarithm of its rank by score."""
+        normal = sorted((i for i, k in enumerate(self.kinds) if k == NORMAL), key=lambda i: -self.scores[i])
+        scores = list(self.scores)
+        for rank, i in enumerate(normal):
+            scores[i] = float(np.float32(-np.log(2.0 + rank)))
+        return Vocabulary(UNIGRAM, self.pieces, scores, self.kinds, self.dummy_prefix)
+
     def normal(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
@@ -125,18 +133,27 @@ def load(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers units between batches, up to a bound, as numbers into one flat array of ids."""
+    """Encodes texts; remembers units between batches, up to a bound, as numbers into one flat array of ids.
+
+    Several vocabularies of the same pieces share units and the search for substrings.
+    """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, *others: Vocabulary):
+        if any(o.pieces != vocabulary.pieces or o.kinds != vocabulary.kinds for o in others):
+            raise ValueError("vocabularies that are encoded together must have the same pieces")
+        self.v, self.all = vocabulary, (vocabulary, *others)
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.start, self.size = ([np.empty(0, t) for _ in self.all] for t in (np.int32, np.int64, np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the bounds of each text's."""
+        return self.encode_all(texts)[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for each vocabulary."""
         cut, normal = self.v.unit.findall, self.v.normal
         lists = [cut(normal(t)) if t else [] for t in texts]
         every = list(chain.from_iterable(lists))
@@ -144,53 +161,67 @@ class Encoder:
             self._forget()
         self._learn(list(set(every) - self.number.keys()))
         at = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
-        n = self.size[at]
-        before = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.start[at] - before[:-1], n) + np.arange(before[-1])]
-        return ids, before[np.concatenate(([0], np.cumsum([len(units) for units in lists], dtype=np.int64)))]
+        ends = np.concatenate(([0], np.cumsum([len(units) for units in lists], dtype=np.int64)))
+        out = []
+        for flat, start, size in zip(self.flat, self.start, self.size, strict=True):
+            n = size[at]
+            before = np.concatenate(([0], np.cumsum(n)))
+            out.append((flat[np.repeat(start[at] - before[:-1], n) + np.arange(before[-1])], before[ends]))
+        return out
 
     def _learn(self, units: list[str]) -> None:
         """Encodes new units, those of equal length together."""
-        parts, sizes, order, single = [self.flat], [], [], []
+        parts: list[list[np.ndarray]] = [[f] for f in self.flat]
+        sizes: list[list[np.ndarray]] = [[] for _ in self.all]
+        order: list[str] = []
         by_length: dict[int, list[str]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
-        advance = self._viterbi if self.v.kind == UNIGRAM else self._merge
         for length, same in by_length.items():
-            if length > LONG and self.v.kind == BPE:
-                single += [(u, self._merge_one(u)) for u in same]
-                continue
             step = max(1, MATRIX // length)
             for a in range(0, len(same), step):
                 some = same[a : a + step]
+                order += some
+                if length > LONG:
+                    for k, v in enumerate(self.all):
+                        one = self._viterbi_one if v.kind == UNIGRAM else self._merge_one
+                        ids = [self._ids(u, one(u, v)) for u in some]
+                        parts[k] += ids
+                        sizes[k].append(np.array([len(x) for x in ids]))
+                    continue
                 points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length)
-                spans, ids = advance(points)
-                unit, start = np.nonzero(spans)
-                got = ids[unit, start, np.minimum(spans[unit, start], ids.shape[2] - 1)]
-                odd = np.unique(unit[got < 0])  # units with a character that is no piece
-                single += [(some[k], [(x, int(spans[k, x])) for x in np.flatnonzero(spans[k]).tolist()]) for k in odd.tolist()]
-                whole = np.ones(len(some), bool)
-                whole[odd] = False
-                parts.append(got[whole[unit]])
-                sizes.append(np.bincount(unit, minlength=len(some))[whole])
-                order += some if not len(odd) else [u for u, w in zip(some, whole.tolist(), strict=True) if w]
-        for u, spans in single:
-            parts.append(self._ids(u, spans))
-            sizes.append(np.array([len(parts[-1])]))
-            order.append(u)
+                ids = self._substrings(points)
+                for k, v in enumerate(self.all):
+                    got, size = self._advance(v, some, ids)
+                    parts[k].append(got)
+                    sizes[k].append(size)
         if not order:
             return
-        size = np.concatenate(sizes).astype(np.int64)
-        self.number.update(zip(order, range(len(self.size), len(self.size) + len(order)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate(parts)
-
-    def _substrings(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(units, starts, lengths) of scores and ids: of each substring of up to the longest piece's length."""
+        self.number.update(zip(order, range(len(self.size[0]), len(self.size[0]) + len(order)), strict=True))
+        for k in range(len(self.all)):
+            size = np.concatenate(sizes[k]).astype(np.int64)
+            self.start[k] = np.concatenate([self.start[k], len(self.flat[k]) + np.cumsum(size) - size])
+            self.size[k] = np.concatenate([self.size[k], size])
+            self.flat[k] = np.concatenate(parts[k])
+
+    def _advance(self, v: Vocabulary, some: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of equal length, one after the other, and how many each has."""
+        spans = (self._viterbi if v.kind == UNIGRAM else self._merge)(v, v.by_id[ids])
+        unit, start = np.nonzero(spans)
+        got = ids[unit, start, np.minimum(spans[unit, start], ids.shape[2] - 1)]
+        size = np.bincount(unit, minlength=len(some))
+        odd = np.unique(unit[got < 0])  # units with a character that is no piece
+        if len(odd):
+            lists = np.split(got, np.cumsum(size)[:-1])
+            for k in odd.tolist():
+                lists[k] = self._ids(some[k], [(x, int(spans[k, x])) for x in np.flatnonzero(spans[k]).tolist()])
+            got, size = np.concatenate(lists), np.array([len(x) for x in lists])
+        return got, size
+
+    def _substrings(self, points: np.ndarray) -> np.ndarray:
+        """(units, starts, lengths): the id of each substring of up to the longest piece's length, -1 if it is no piece."""
         n, length = points.shape
         wide = min(length, self.v.longest)
-        score = np.full((n, length, wide + 1), NONE, np.float32)
         ids = np.full((n, length, wide + 1), -1, np.int32)
         h = np.zeros((n, length), np.uint64)
         values = points.astype(np.uint64) + np.uint64(1)
@@ -202,15 +233,13 @@ class Encoder:
             at = np.minimum(np.searchsorted(self.v.keys, wanted), len(self.v.keys) - 1)
             hit = self.v.keys[at] == wanted
             unit, start, at = unit[hit], start[hit], at[hit]
-            score[unit, start, k] = self.v.key_scores[at]
             ids[unit, start, k] = self.v.ids[at]
-        return score, ids
+        return ids
 
-    def _viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, length = points.shape
-        score, ids = self._substrings(points)
+    def _viterbi(self, v: Vocabulary, score: np.ndarray) -> np.ndarray:
+        n, length = score.shape[:2]
         alone = score[:, :, 1]
-        score[:, :, 1] = np.where(alone == NONE, self.v.floor, alone)
+        score[:, :, 1] = np.where(alone == NONE, v.floor, alone)
         wide = score.shape[2] - 1
         best = np.full((n, length + 1), NONE, np.float32)
         best[:, 0] = 0
@@ -227,11 +256,32 @@ class Encoder:
             sizes[live, start] = end[live] - start
             end[live] = start
             live = live[start > 0]
-        return sizes, ids
-
-    def _merge(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, length = points.shape
-        score, ids = self._substrings(points)
+        return sizes
+
+    def _viterbi_one(self, unit: str, v: Vocabulary) -> list[tuple[int, int]]:
+        """The same for a unit of any length, in linear memory: the last few scores and a backpointer for each end."""
+        numbers, scores, n = v.numbers, v.by_id, len(unit)
+        best, back = [np.float32(0)], [0]
+        for end in range(1, n + 1):
+            top, from_ = NONE, end - 1
+            for start in range(max(0, end - v.longest), end):
+                i = numbers.get(unit[start:end])
+                score = scores[i] if i is not None else v.floor if end - start == 1 else NONE
+                total = best[start - end] + score  # best holds the longest piece's length of scores, the newest last
+                if total > top:
+                    top, from_ = total, start
+            best.append(top)
+            back.append(end - from_)
+            if len(best) > v.longest:
+                del best[0]
+        out, end = [], n
+        while end:
+            out.append((end - back[end], back[end]))
+            end -= back[end]
+        return out[::-1]
+
+    def _merge(self, v: Vocabulary, score: np.ndarray) -> np.ndarray:
+        n, length = score.shape[:2]
         wide = score.shape[2] - 1
         sizes = np.ones((n, length), np.int64)
         live, place = np.arange(n), np.arange(length)
@@ -247,7 +297,7 @@ class Encoder:
             live, left, row = live[go], left[go], row[go]
             sizes[live, left + own_sizes[row, left]] = 0
             sizes[live, left] = total[row, left]
-        return sizes, ids
+        return sizes
 
     def _ids(self, unit: str, spans: list[tuple[int, int]]) -> np.ndarray:
         ids: list[int] = []
@@ -256,7 +306,7 @@ class Encoder:
             ids += [found] if found is not None else self.v.single(unit[s])
         return np.array(ids, np.int32)
 
-    def _merge_one(self, unit: str) -> list[tuple[int, int]]:
+    def _merge_one(self, unit: str, v: Vocabulary) -> list[tuple[int, int]]:
         """Merges in a unit of any length with a heap: linear memory, about n log n time."""
         n = len(unit)
         size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
@@ -265,9 +315,9 @@ class Encoder:
         def offer(p: int) -> None:
             if p >= 0 and after[p] < n:
                 total = size[p] + size[after[p]]
-                found = self.v.numbers.get(unit[p : p + total]) if total <= self.v.longest else None
+                found = v.numbers.get(unit[p : p + total]) if total <= v.longest else None
                 if found is not None:
-                    heapq.heappush(heap, (-self.v.scores[found], p, size[p], total))
+                    heapq.heappush(heap, (-v.scores[found], p, size[p], total))
 
         for p in range(n - 1):
             offer(p)
@@ -305,34 +355,43 @@ def _slices(batch: pa.RecordBatch, values: pa.Array, most: int) -> Iterator[pa.R
 _last: list[Encoder] = []
 
 
-def _remembering(vocabulary: Vocabulary) -> Encoder:
-    """The worker's encoder from its task before, if that had the same vocabulary."""
-    if not _last or _last[0].v is not vocabulary and _last[0].v.pieces != vocabulary.pieces:
-        _last[:] = [Encoder(vocabulary)]
+def _remembering(vocabularies: tuple[Vocabulary, ...]) -> Encoder:
+    """The worker's encoder from its task before, if that had the same vocabularies."""
+    known = [(v.kind, v.scores, v.pieces) for v in vocabularies]
+    if not _last or [(v.kind, v.scores, v.pieces) for v in _last[0].all] != known:
+        _last[:] = [Encoder(*vocabularies)]
     return _last[0]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, beside: dict[str, Vocabulary] | None = None) -> DataFrame:
     """docs with one column more: the piece ids of each whole text, an array of int (empty for null and empty texts).
 
-    With decoded_col, a second one: the text that decoding these ids gives, in the same pass. Columns of these names are
-    replaced, all others pass through; repeated rows give equal ids; an empty table stays empty.
+    With decoded_col, a second one: the text that decoding these ids gives, in the same pass. beside: other vocabularies
+    of the same pieces by name, with columns name_ids and, if there is a decoded_col, name_decoded of theirs. Columns of
+    these names are replaced, all others pass through; repeated rows give equal ids; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
-    names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    every = {"": vocabulary} | {f"{n}_": v for n, v in (beside or {}).items()}
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(every.values()))  # as large as the vocabularies
+    made = [c for n in every for c in ((f"{n}{ids_col}", f"{n}{decoded_col}") if decoded_col else (f"{n}{ids_col}",))]
+    names = [c for c in docs.columns if c not in made]
     inner = docs.select(own(text_col).alias("text"), packed(names).alias("row"))
-    schema = inner.select("row").schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    schema = inner.select("row").schema
+    for k in range(len(made)):
+        schema = schema.add(f"made{k}", "string" if decoded_col and k % 2 else ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _remembering(shared.value)
         for b in batches:
             for part in _slices(b, b["text"], TEXT_BYTES):
-                ids, bounds = encoder.encode(part["text"].to_pylist())
-                back = pa.array(encoder.decode(ids, bounds), pa.string()) if decoded_col else pa.nulls(part.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([part["row"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), back], names=["row", "ids", "decoded"])
+                columns = []
+                for ids, bounds in encoder.encode_all(part["text"].to_pylist()):
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                    if decoded_col:
+                        columns.append(pa.array(encoder.decode(ids, bounds), pa.string()))
+                yield pa.RecordBatch.from_arrays([part["row"], *columns], names=["row", *(f"made{k}" for k in range(len(made)))])
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*unpacked("row", names), out["ids"].alias(ids_col), *([out["decoded"].alias(decoded_col)] if decoded_col else []))
+    return out.select(*unpacked("row", names), *[out[f"made{k}"].alias(c) for k, c in enumerate(made)])
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -34,17 +35,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-#: Where the public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
+#: Where the public tokenizers are, unless QUERN_TOKENIZERS names another folder.
+TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text and their way back; a word mark inside a text comes back as a space, as in the library."""
+    """Ids of every whole text and their way back, by the merges that define the file's ids and, from the same pieces as a
+    unigram model, by Viterbi; a word mark inside a text comes back as a space, as in the library."""
     vocabulary = pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.encode(docs, vocabulary, ids_col="ids", decoded_col="decoded")
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("restored"))
+    back = pieces.encode(docs, vocabulary, ids_col="ids", decoded_col="decoded", beside={"unigram": vocabulary.as_unigram()})
+    given = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    made = [c for n in ("", "unigram_") for c in (F.size(f"{n}ids").cast("long").alias(f"{n}n_tokens" if n else "n_tokens"), F.xxhash64(f"{n}ids").alias(f"{n}ids_xxhash64"), (F.col(f"{n}decoded") == given).alias(f"{n}restored"))]
+    return back.select("doc_id", *made, (F.col("ids") != F.col("unigram_ids")).alias("differs"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ Distribution. Documents are dealt into shards by a hash of id and text. A shard
 once, sorted, as one binary value for each range of hash values (bucket); a bucket answers each shard with one bit a
 hash: does another shard have it too? What repeats inside a shard the shard knows itself. As a hash leaves a shard once
 however often it occurs, no bucket gets more than one copy of it from each shard, whatever passage is hot. The second
-round does the same with the extended windows. A list of sorted distinct hashes is a function of the shard's content
+round does the same with the extended windows. With many buckets a shard sends to ranges of buckets, and groups of shards
+merge their lists there before they go on to the buckets, so that rows of lists grow with the power of 1.5 of the input
+and each stays long; answers come back the same way. A list of sorted distinct hashes is a function of the shard's content
 alone, not of row order, so a lost task recomputes the same list and the bits still fit.
 """
 
@@ -32,12 +34,14 @@ from .columns import own, packed
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Text bytes of a shard, and hashes of a bucket, on average.
 SHARD_BYTES, BUCKET_HASHES = 8 << 20, 400_000
+#: Bits of the bucket number from which on lists are merged on their way.
+SPLIT_BITS = 10
 
 SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("hashes", T.BinaryType())])
 REPLY = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_layout: bool = False, shard_bytes: int = SHARD_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_layout: bool = False, shard_bytes: int = SHARD_BYTES, bucket_hashes: int = BUCKET_HASHES, split_bits: int = SPLIT_BITS) -> DataFrame:
     """Removes every word that lies in a run of `window` words which also starts anywhere else.
 
     Words are runs of anything but 0x20 and 0x09-0x0D, unchanged. All occurrences go, the first too; runs are judged on
@@ -46,35 +50,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words with the white space after them and leaves all other characters alone.
 
     Null text counts as empty and comes back as "". A null id is a document like any other. Repeated rows are separate
-    documents, so texts of `window` or more words that occur twice vanish. Shorter texts are never touched. Long texts
-    are worked on whole; memory is bounded by a shard plus the longest text. An empty table gives an empty table.
+    documents, so texts of `window` or more words that occur twice vanish; rows equal in id and text share a shard.
+    Shorter texts are never touched. Long texts are worked on whole; memory is bounded by some 20 bytes for each byte of a
+    shard or of the longest text. An empty table gives an empty table.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be {PERIOD + 1} words at least")
     total = docs.select(F.sum(F.octet_length(own(text_col)).cast("long"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     bits = max(0, math.ceil(math.log2(max(1, total / 5.5 * len(COVER) / PERIOD / bucket_hashes))))
+    coarse, groups = (bits, 1) if bits <= split_bits else ((bits + 1) // 2, 1 << math.ceil(math.log2(shards)) // 2)
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
     dealt = docs.select(
-        F.pmod(F.xxhash64(own(id_col), own(text_col)), F.lit(shards)).cast("int").alias("shard"),
+        # A text too short for a window sends no list, so its place may be any: null and empty ones are dealt by place.
+        F.pmod(F.when(F.octet_length(own(text_col)) >= 2 * window - 1, F.xxhash64(own(id_col), own(text_col))).otherwise(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
         own(text_col).alias("text"),
         packed(rest).alias("rest"),
     )
     texts = dealt.groupBy("shard")
-    anchors = texts.applyInArrow(lambda key, t: _send(key, _Shard(t, window).anchors()[0], bits, t.num_rows), SENT)
-    first = anchors.groupBy("bucket").applyInArrow(lambda key, t: _answer(t, key, 1), REPLY)
+    anchors = texts.applyInArrow(lambda key, t: _send(key, _Shard(t, window).anchors()[0], coarse, t.num_rows), SENT)
+    first = _elsewhere(anchors, 1, coarse, bits - coarse, groups)
 
     def extended(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         shard = _Shard(t, window)
-        return _send(key, shard.extended(_bits(replies, 1, bits, shard.anchors()[0]))[0], bits, t.num_rows)
+        return _send(key, shard.extended(_bits(replies, 1, coarse, shard.anchors()[0]))[0], coarse, t.num_rows)
 
-    second = texts.cogroup(first.groupBy("shard")).applyInArrow(extended, SENT).groupBy("bucket").applyInArrow(lambda key, t: _answer(t, key, 2), REPLY)
+    second = _elsewhere(texts.cogroup(first.groupBy("shard")).applyInArrow(extended, SENT), 2, coarse, bits - coarse, groups)
     out = T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", dealt.schema["rest"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def finish(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
         shard = _Shard(t, window)
-        known, runs = shard.extended(_bits(replies, 1, bits, shard.anchors()[0]))
-        again = _bits(replies, 2, bits, known)
+        known, runs = shard.extended(_bits(replies, 1, coarse, shard.anchors()[0]))
+        again = _bits(replies, 2, coarse, known)
         text, n, removed = shard.cut(runs[again[shard.at] | shard.twice[shard.at]] if len(runs) else runs, keep_layout)
         return pa.table({"text": text, "rest": t["rest"], "n_words": n, "n_removed": removed})
 
@@ -186,19 +193,73 @@ def _send(key: tuple, hashes: np.ndarray, bits: int, rows: int) -> pa.Table:
     return pa.table({"bucket": pa.array(own, pa.int32()), "shard": pa.array([shard] * len(own), pa.int32()), "hashes": pa.array([hashes[edge[b] : edge[b + 1]].tobytes() for b in own], pa.binary())})
 
 
-def _answer(sent: pa.Table, key: tuple, number: int) -> pa.Table:
-    """For each shard's list of hashes, a bit each: whether another list of the bucket has it. number: 1 or 2 values a hash."""
-    lists = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, number) for x in sent["hashes"].combine_chunks()]
+def _elsewhere(sent: DataFrame, number: int, coarse: int, fine: int, groups: int) -> DataFrame:
+    """What the buckets answer each list of `number` values a hash: REPLY, by shard and the `coarse` bits of the bucket."""
+    if not fine:
+        return sent.groupBy("bucket").applyInArrow(lambda key, t: _answer(t, number), REPLY)
+    dealt = sent.withColumn("grp", F.pmod("shard", F.lit(groups))).groupBy("bucket", "grp")
+    merged = dealt.applyInArrow(lambda key, t: _merge(key, t, number, coarse, fine, groups), SENT)
+    replies = merged.groupBy("bucket").applyInArrow(lambda key, t: _answer(t, number), REPLY)
+    back = replies.select(F.expr(f"shard div {groups}").cast("int").alias("to"), F.pmod("shard", F.lit(groups)).alias("grp"), F.col("bucket").alias("fine"), "bits")
+    return dealt.cogroup(back.withColumnRenamed("to", "bucket").groupBy("bucket", "grp")).applyInArrow(lambda key, t, r: _pass_on(key, t, r, number, coarse, fine), REPLY)
+
+
+def _lists(sent: pa.Table, number: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, number) for x in sent["hashes"].combine_chunks()]
+
+
+def _union(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of several lists, sorted; the number of each list's entries in them; in how many lists each is."""
     every = np.concatenate(lists)
     order = np.argsort(every[:, 0], kind="stable")
-    if number == 2 and (np.diff(every[order, 0]) == 0).any():
+    if every.shape[1] == 2 and (np.diff(every[order, 0]) == 0).any():
         order = np.lexsort((every[:, 1], every[:, 0]))
-    same = (every[order][1:] == every[order][:-1]).all(1)
-    again = np.zeros(len(every), bool)
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
+    new = np.ones(len(order), bool)
+    new[1:] = (every[order][1:] != every[order][:-1]).any(1)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return every[order][new], at, np.bincount(at)
+
+
+def _within(known: np.ndarray, bucket: int, coarse: int, fine: int) -> np.ndarray:
+    """Where each of the buckets that share their coarse bits begins in sorted hashes, and the end."""
+    tops = [((bucket << fine) + f) << (64 - coarse - fine) for f in range(1, 1 << fine)]
+    return np.concatenate(([0], np.searchsorted(known[:, 0], np.array(tops, np.uint64)), [len(known)]))
+
+
+def _merge(key: tuple, sent: pa.Table, number: int, coarse: int, fine: int, groups: int) -> pa.Table:
+    """The lists of a group of shards as one, sent on to the buckets."""
+    bucket, group = (k.as_py() for k in key)
+    known = _union(_lists(sent, number))[0]
+    edge = _within(known, bucket, coarse, fine)
+    own = np.flatnonzero(np.diff(edge))
+    return pa.table({"bucket": pa.array((bucket << fine) + own, pa.int32()), "shard": pa.array([bucket * groups + group] * len(own), pa.int32()), "hashes": pa.array([known[edge[f] : edge[f + 1]].tobytes() for f in own], pa.binary())})
+
+
+def _pass_on(key: tuple, sent: pa.Table, replies: pa.Table, number: int, coarse: int, fine: int) -> pa.Table:
+    """Answers to the lists of a group: another group has a hash, or another list of this one."""
+    if not sent.num_rows:
+        return pa.schema([("shard", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())]).empty_table()
+    bucket, lists = key[0].as_py(), _lists(sent, number)
+    known, at, n = _union(lists)
+    edge, again = _within(known, bucket, coarse, fine), n > 1
+    for place, packed in zip(replies["fine"].to_pylist(), replies["bits"].to_pylist(), strict=True):
+        a, b = edge[place - (bucket << fine)], edge[place - (bucket << fine) + 1]
+        again[a:b] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+    return _replies(sent, number, lists, again[at])
+
+
+def _answer(sent: pa.Table, number: int) -> pa.Table:
+    """For each list of hashes, a bit each: whether another list of the bucket has it. number: 1 or 2 values a hash."""
+    lists = _lists(sent, number)
+    _, at, n = _union(lists)
+    return _replies(sent, number, lists, (n > 1)[at])
+
+
+def _replies(sent: pa.Table, number: int, lists: list[np.ndarray], again: np.ndarray) -> pa.Table:
     edge = np.cumsum([0, *map(len, lists)])
-    return pa.table({"shard": sent["shard"], "round": pa.array([number] * len(lists), pa.int32()), "bucket": sent["bucket"], "bits": pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+    bits = pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    return pa.table({"shard": sent["shard"], "round": pa.array([number] * len(lists), pa.int32()), "bucket": sent["bucket"], "bits": bits})
 
 
 def _bits(replies: pa.Table, number: int, bits: int, hashes: np.ndarray) -> np.ndarray:

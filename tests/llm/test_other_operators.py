@@ -53,12 +53,38 @@ def test_unigram_viterbi_equals_the_library(tmp_path):
     model.pieces.extend(kept)
     path = tmp_path / "unigram.model"
     path.write_bytes(model.SerializeToString())
-    library, encoder, every = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Encoder(pieces.load(str(path))), texts(seed=3)
+    library, encoder, every = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Encoder(pieces.load(str(path))), [*texts(seed=3), "漢字the" * 300, "abc" * 3000]
     ids, bounds = encoder.encode(every)
     for i, t in enumerate(every):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t or "")
 
 
+@needs_files
+def test_both_models_equal_the_library_on_every_document(spark, small, tmp_path):
+    """The registered query's ids, merges and Viterbi, of every text of the smallest table."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    path = TOKENIZERS / "piece_bpe_32k.model"
+    vocabulary = pieces.load(str(path))
+    model = proto.ModelProto()
+    model.ParseFromString(path.read_bytes())
+    model.trainer_spec.model_type = pieces.UNIGRAM
+    for p, score in zip(model.pieces, vocabulary.as_unigram().scores, strict=True):
+        p.score = score
+    (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
+    merges, best = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    encoder = pieces.Encoder(vocabulary, vocabulary.as_unigram())
+    got = {r["doc_id"]: r for r in queries.op3_sentencepiece(spark, small).collect()}
+    (a, at), (b, bt) = encoder.encode_all([t for _, t in docs])
+    for i, (d, t) in enumerate(docs):
+        one, two = merges.encode(t), best.encode(t)
+        assert a[at[i] : at[i + 1]].tolist() == one and b[bt[i] : bt[i + 1]].tolist() == two
+        assert (got[d]["n_tokens"], got[d]["unigram_n_tokens"], got[d]["differs"]) == (len(one), len(two), one != two)
+        assert got[d]["restored"] and got[d]["unigram_restored"]
+
+
 @needs_files
 def test_encode_and_decode_frames(spark):
     vocabulary = pieces.load(str(TOKENIZERS / "piece_bpe_32k.model"))
@@ -312,6 +338,27 @@ def test_rollup_against_brute_force(spark, tmp_path):
     assert len(rollup.commits()) == 4  # what failed left no trace
 
 
+def test_rollup_compacts_and_expires(spark, tmp_path, monkeypatch):
+    """With a snapshot every second commit the totals stay those of all batches, and a batch reads no deltas before it."""
+    monkeypatch.setattr(token_counts, "COMPACT", 2)
+    draw, kind = random.Random(9), "doc_id long, version string, source string, lang string, tokens long, op string, seq long"
+    batches = [[(draw.randrange(9), "v", draw.choice(["a", "b"]), "en", draw.randrange(100), draw.choice(["upsert", "delete"]), 0) for _ in range(6)] for _ in range(5)]
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    for i, changes in enumerate(batches):
+        assert rollup.commit(f"b{i}", spark.createDataFrame(changes, kind))
+        rollup.expire()
+        assert not rollup.commit("b0", spark.createDataFrame(changes, kind))
+        assert sorted(map(tuple, rollup.totals().collect())) == brute_rollup(batches[: i + 1])
+    assert len(rollup._recent()[2]) == 2 and len(list((tmp_path / "rollup" / "deltas").iterdir())) == 2
+
+
+def test_count_tokens_edges(spark):
+    ranks = {bytes([b]): b for b in range(256)}
+    df = spark.createDataFrame([(1, "ab", "s", "en", 5), (1, "ab", "s", "en", 5), (None, "c" * 300_000, None, None, 6)], "doc_id long, text string, source string, lang string, tokens long").withColumn("words", F.lit("old"))
+    assert sorted(map(tuple, token_counts.count_tokens(df, ranks).collect()), key=repr) == sorted([(1, "s", "en", 2, 1)] * 2 + [(None, None, None, 300_000, 1)], key=repr)
+    assert token_counts.count_tokens(df.limit(0), ranks).collect() == []
+
+
 def test_rollup_null_keys_and_orphans(spark, tmp_path):
     kind = "doc_id long, version string, source string, lang string, tokens long, op string, seq long"
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")

@@ -30,11 +30,12 @@ def test_words(size):
     assert len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("shard_bytes", [500, 1 << 20])
-def test_substring_dedup(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "split_bits"), [(500, 10), (1 << 20, 10), (2000, 0)])
+def test_substring_dedup(spark, shard_bytes, split_bits):
+    """Many shards, one, and lists that are merged on their way."""
     rows = [*fx.passages(), *EDGES, (1006, "a " * 200), (7, fx.passages()[7][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("q")).withColumn("n_words", F.lit("old")).withColumn("odd.name", F.lit(1))
-    got = substring_dedup(df, shard_bytes=shard_bytes, bucket_hashes=50)
+    got = substring_dedup(df, shard_bytes=shard_bytes, bucket_hashes=50, split_bits=split_bits)
     assert got.columns == ["doc_id", "text", "shard", "odd.name", "n_words", "n_removed"]
     want = sorted((d, n, r, " ".join(k)) for d, n, r, k in fx.cut(rows, 35))
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got.collect()) == want
@@ -138,6 +139,53 @@ def test_pack_against_the_optimum():
     assert [len(x) for x in packing.pack([], costs)] == [0, 0, 0]
 
 
+def optimum(lengths, costs):
+    """Least cost over all ways to part the pieces into bins of permitted sizes."""
+    fits = [sum(x for i, x in enumerate(lengths) if s >> i & 1) for s in range(1 << len(lengths))]
+    price = [min((c for size, c in costs.items() if size >= f), default=float("inf")) for f in fits]
+    best = [0.0] * len(fits)
+    for s in range(1, len(fits)):
+        low, sub, least = s & -s, s, float("inf")
+        while sub:
+            if sub & low and price[sub] + best[s ^ sub] < least:
+                least = price[sub] + best[s ^ sub]
+            sub = (sub - 1) & s
+        best[s] = least
+    return best[-1]
+
+
+@pytest.mark.parametrize("costs", [{4: 4.0, 6: 6.0, 8: 8.0}, {4: 3.0, 8: 8.0}, {3: 4.0, 7: 7.0, 10: 9.0}])
+def test_pack_against_every_packing(costs):
+    """Never far over the least cost of all packings of up to eight pieces, and mostly at it."""
+    draw, equal, runs = np.random.default_rng(1), 0, 120
+    for _ in range(runs):
+        lengths = draw.integers(1, max(costs) + 1, draw.integers(1, 9)).tolist()
+        _, capacity, _ = packing.pack(lengths, costs)
+        got, least = sum(costs[int(c)] for c in capacity), optimum(lengths, costs)
+        assert least <= got <= 1.5 * least
+        equal += got == least
+    assert equal >= 0.75 * runs
+
+
+def test_packing_query_places_every_word(spark, small):
+    """The registered query on the whole table: each document's words are placed once, in bins no larger than they must be."""
+    from quern.llm import queries
+
+    words_of = {r["doc_id"]: len(fx.tokens(r["text"])) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    placed: dict = {}
+    bins: dict = {}
+    for r in queries.op1_best_fit_packing(spark, small).collect():
+        placed.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        bins.setdefault(r["bin_id"], []).append(r)
+    for d, n in words_of.items():
+        assert sorted(placed.pop(d)) == ([(a, min(4096, n - a)) for a in range(0, n, 4096)] or [(0, 0)])
+    assert not placed
+    for rows in bins.values():
+        used = sum(r["length"] for r in rows)
+        assert {(r["used"], r["capacity"]) for r in rows} == {(used, min(c for c in packing.CAPACITIES if c >= used))}
+        assert len({r["offset"] for r in rows if r["length"]}) == sum(r["length"] > 0 for r in rows)
+
+
 def test_pack_is_valid_and_tight():
     lengths = np.random.default_rng(0).integers(0, 513, 3000)
     place, capacity, used = packing.pack(lengths, {128: 128.0, 256: 256.0, 512: 512.0})
