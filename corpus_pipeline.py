@@ -36,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group = F.struct(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("a"), *[F.when(F.col("n_shingles") == 0, x) for x in (F.col("__doc.doc_id"), F.col("__doc.doc_id").isNull(), F.col("__doc.text").isNull(), F.xxhash64("__doc.text"))]).alias("__group")
     ranked = numbered.select("__row", "__doc.doc_id", rank, "__doc").join(found.select("__row", "n_shingles", "component_id"), "__row").select(group, "__rank")
     first = scratch.save(ranked.groupBy("__group").agg(F.min("__rank").alias("__rank")).select("__rank.__row"), "first")
+    scratch.drop(found)
     return numbered.join(first, "__row", "left_semi").select("__doc.*")
 
 
