@@ -201,3 +201,90 @@ def isbn13_valid(s: Column) -> Column:
     digits = F.split(F.regexp_replace(s, "[^0-9]", ""), "")
     total = F.aggregate(F.transform(F.filter(digits, lambda d: d != ""), lambda d, i: d.cast("int") * F.when(i % 2 == 0, 1).otherwise(3)), F.lit(0), lambda a, x: a + x)
     return (F.length(F.regexp_replace(s, "[^0-9]", "")) == 13) & (total % 10 == 0)
+
+
+# Keyed digests and text-search queries
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """The keyed digest of a message (binary or text) in hex, by the definition of HMAC over SHA-256 with blocks of 64 bytes."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+QUERY_TOKEN = re.compile(r"\s*(<(?:-|\d+)>|[&|!()]|[^\s&|!()<>]+)")
+
+
+def ts_query(vector: Column, query: str) -> Column:
+    """Whether a vector matches a query text: words with & (and), | (or), ! (not), <-> or <n> (at that distance) and
+    parentheses; `word:*` is a prefix. Distances bind words and distances of words, as in a phrase."""
+    tokens, at = QUERY_TOKEN.findall(query), 0
+    if "".join(tokens) != "".join(query.split()):
+        raise ValueError(f"not a text-search query: {query!r}")
+
+    def peek() -> str | None:
+        return tokens[at] if at < len(tokens) else None
+
+    def take() -> str:
+        nonlocal at
+        if peek() is None:
+            raise ValueError(f"the query ends too early: {query!r}")
+        at += 1
+        return tokens[at - 1]
+
+    def word(w: str) -> Column:
+        """Positions of a word."""
+        hit = (lambda p: p["lexeme"].startswith(w[:-2].lower())) if w.endswith(":*") else (lambda p: p["lexeme"] == w.lower())
+        return F.transform(F.filter(vector, hit), lambda p: p["pos"])
+
+    def near(before: Column, after: Column, distance: int) -> Column:
+        return F.filter(after, lambda p: F.array_contains(before, p - distance))
+
+    def factor() -> tuple[Column | None, Column]:
+        t = take()
+        if t == "!":
+            return None, ~factor()[1]
+        if t == "(":
+            out = either()
+            if take() != ")":
+                raise ValueError(f"a parenthesis is not closed: {query!r}")
+            return None, out
+        if t in "&|)" or t[0] == "<":
+            raise ValueError(f"a word is missing before {t!r}")
+        places = word(t)
+        return places, F.size(places) > 0
+
+    def phrase() -> Column:
+        places, out = factor()
+        while (t := peek()) and t[0] == "<":
+            distance = 1 if take() == "<->" else int(t[1:-1])
+            after, _ = factor()
+            if places is None or after is None:
+                raise ValueError("distances are between words")
+            places = near(places, after, distance)
+            out = F.size(places) > 0
+        return out
+
+    def both() -> Column:
+        out = phrase()
+        while peek() == "&":
+            take()
+            out = out & phrase()
+        return out
+
+    def either() -> Column:
+        out = both()
+        while peek() == "|":
+            take()
+            out = out | both()
+        return out
+
+    if not tokens:
+        return F.lit(False)
+    out = either()
+    if peek() is not None:
+        raise ValueError(f"not understood from {peek()!r} on: {query!r}")
+    return out

@@ -163,3 +163,54 @@ def bool_text(s: Column) -> Column:
     for word in ("false", "no", "off"):
         no = no | ((F.lit(word).startswith(t)) & (t != "") & ((t != "o")))
     return F.when(yes | (t == "1"), True).when(no | (t == "0"), False)
+
+
+# Further document and range values
+
+MAP = "map<string,string>"
+
+
+def json_exists_any(j: Column, keys: list[str]) -> Column:
+    """Whether an object has one of the keys."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(j), F.array(*map(F.lit, keys))), F.lit(False))
+
+
+def json_exists_all(j: Column, keys: list[str]) -> Column:
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(j))) == 0, F.lit(False))
+
+
+def json_concat(a: Column, b: Column) -> Column:
+    """Members of both objects, those of the second where a key is in both; values as text."""
+    one, two = F.from_json(a, MAP), F.from_json(b, MAP)
+    return F.to_json(F.map_concat(F.map_filter(one, lambda k, _: ~F.map_contains_key(two, k)), two))
+
+
+def json_delete(j: Column, key: str) -> Column:
+    return F.to_json(F.map_filter(F.from_json(j, MAP), lambda k, _: k != key))
+
+
+def avg_interval(start: Column, stop: Column) -> Column:
+    """The mean of stop - start as an aggregate, in seconds with fractions."""
+    return F.avg(stop.cast("double") - start.cast("double"))
+
+
+def get_bit(x: Column, n: int) -> Column:
+    """Bit n of an integer, the lowest being 0."""
+    return F.shiftrightunsigned(x.cast("long"), n).bitwiseAND(F.lit(1)).cast("int")
+
+
+def set_bit(x: Column, n: int, value: int) -> Column:
+    mask = F.lit(1 << n).cast("long")
+    return x.cast("long").bitwiseOR(mask) if value else x.cast("long").bitwiseAND(~(1 << n))
+
+
+def range_intersection(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """[greatest lower, least upper) of two half-open ranges; null where they don't overlap."""
+    lo, hi = F.greatest(lo1, lo2), F.least(hi1, hi2)
+    return F.when(lo < hi, F.struct(lo.alias("lower"), hi.alias("upper")))
+
+
+def make_time(hour: Column, minute: Column, second: Column) -> Column:
+    """A time of day as text, HH:MM:SS; null outside its range."""
+    good = hour.between(0, 23) & minute.between(0, 59) & (second >= 0) & (second < 60)
+    return F.when(good, F.format_string("%02d:%02d:%02d", hour, minute, F.floor(second)))

@@ -53,7 +53,7 @@ def erf_inv_value(y: float) -> float:
     """The same on the driver, from the normal quantile."""
     if not -1 < y < 1:
         return math.copysign(math.inf, y) if abs(y) == 1 else math.nan
-    return NormalDist().inv_cdf((1 + y) / 2) / math.sqrt(2)
+    return math.copysign(NormalDist().inv_cdf((1 - abs(y)) / 2) / math.sqrt(2), y)  # from the tail, where digits are
 
 
 def sample_prob() -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -17,8 +18,9 @@ def fetch_with_ties(df: DataFrame, n: int, order: Sequence[Column], offset: int
     """FETCH FIRST n ROWS WITH TIES. A rank limit is pushed below the exchange: each task sends its first n and ties."""
     if n < 0 or offset < 0:
         raise ValueError("LIMIT and OFFSET must not be negative")
-    if offset:
-        return df.withColumn("__k", F.row_number().over(Window.orderBy(*order))).withColumn("__r", F.rank().over(Window.orderBy(*order))).where((F.col("__k") > offset) & (F.col("__r") <= offset + n)).drop("__k", "__r")
+    if offset:  # the first offset + n and ties are few; only these are numbered
+        df = fetch_with_ties(df, offset + n, order)
+        return df.withColumn("__k", F.row_number().over(Window.orderBy(*order))).where(F.col("__k") > offset).drop("__k")
     return df.withColumn("__r", F.rank().over(Window.orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
@@ -90,3 +92,56 @@ def connect_by(df: DataFrame, id_col: str, parent_col: str, start: object, max_d
             break
         out = out.unionByName(level)
     return out
+
+
+def merge(base: DataFrame, source: DataFrame, keys: Sequence[str], update: Mapping[str, Column] | None = None, delete: Column | None = None, insert: bool = True) -> DataFrame:
+    """MERGE: rows of base that source matches by keys are deleted where `delete` holds, else updated; others stay; rows
+    of source that match none are inserted. In `update` and `delete`, columns of base are t.x, of source s.x; columns of
+    base that are not updated stay. Returns base's columns and __action: DELETE, UPDATE, INSERT, or null for rows that
+    stay; rows deleted are in it, so that it can serve RETURNING. A base row that several source rows match raises.
+    """
+    t, s = base.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
+    once = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    s = s.join(once.alias("o"), [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]).select("s.*", "__n").alias("s") if keys else s
+    both = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full")
+    hit, new = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull()
+    gone = F.coalesce(delete, F.lit(False)) if delete is not None else F.lit(False)
+    action = F.when(hit & (F.col("__n") > 1), F.raise_error(F.lit("a row is matched more than once"))).when(hit & gone, "DELETE").when(hit & F.lit(bool(update)), "UPDATE").when(new, "INSERT")
+    value = lambda c: F.when(new, F.col(f"s.{c}") if c in source.columns else F.lit(None)).when(hit & ~gone, (update or {}).get(c, F.col(f"t.{c}"))).otherwise(F.col(f"t.{c}"))
+    out = both.select(*[value(c).alias(c) for c in base.columns], action.alias("__action"))
+    return out if insert else out.where("__action is null or __action <> 'INSERT'")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of rows whose closed ranges overlap. A range join made an equi-join: ranges meet in the bins of `width` that
+    they touch, and each pair is kept in the first bin that both have, so none comes twice. A row is copied once for each
+    bin that its range touches; with a width about the length of a range that is twice, whatever the table's size."""
+    (a, b), (c, d) = left_range, right_range
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+    one, two = left.where(F.col(a) <= F.col(b)).withColumn("__bin", bins(a, b)), right.where(F.col(c) <= F.col(d)).withColumn("__bin", bins(c, d))
+    first = F.col("__bin") == F.greatest(F.floor(F.col(a) / width), F.floor(F.col(c) / width))
+    return one.join(two, "__bin").where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & first).drop("__bin")
+
+
+def combined_aggregate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], state: str, step, combine, final: Column) -> DataFrame:
+    """A user's aggregate with a combine step: step(list of numpy columns) gives the state of a run of rows of one key as a
+    tuple, combine(a, b) that of two runs; `state` is the DDL of the state's fields, `final` a column over them. States are
+    made on the map side, one for each key and batch, so that a hot key moves as a few states."""
+    import pandas as pd
+
+    fields = T.StructType.fromDDL(state).names
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def partial(batches):
+        for frame in batches:
+            rows = [(*(k if isinstance(k, tuple) else (k,)), *step([g[c].to_numpy() for c in columns])) for k, g in frame.groupby(list(keys), dropna=False, sort=False)]
+            yield pd.DataFrame(rows, columns=[*keys, *fields])
+
+    def whole(frame):
+        out = None
+        for row in frame[fields].itertuples(index=False, name=None):
+            out = row if out is None else combine(out, row)
+        return pd.DataFrame([(*frame.iloc[0][list(keys)], *out)], columns=[*keys, *fields])
+
+    parts = df.select(*keys, *columns).mapInPandas(partial, f"{kinds}, {state}")
+    return parts.groupBy(*keys).applyInPandas(whole, f"{kinds}, {state}").select(*keys, final)

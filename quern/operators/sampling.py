@@ -67,7 +67,8 @@ def swr_sample(population: DataFrame, n: int | None, layout: Layout, seed: int |
     a draw into a bucket and an offset, and only rows of drawn buckets are ranked. The draws, not the rows, are broadcast;
     there are n of them. `index` is rank_index() of exactly this population, if it is stored; the sample is the same with
     and without. A row drawn k times appears k times. Equal seeds give equal samples. An empty population
-    gives an empty sample and a warning.
+    gives an empty sample; ranked.RankedTable, which knows the
+    size of a range before it draws, warns of it, and rejection_report() of ranges that nearly all draws miss.
     """
     if n is None or n < 0:
         raise SampleError("sample size must not be null or negative")
@@ -113,6 +114,12 @@ def rejections(sample: DataFrame, residual: Column) -> DataFrame:
     return sample.agg(F.count(F.lit(1)).alias("n_attempted"), F.coalesce(hit, F.lit(0).cast("long")).alias("n_accepted")).withColumn("rejection_pct", F.round((F.col("n_attempted") - F.col("n_accepted")) * 100.0 / F.greatest("n_attempted", F.lit(1)), 4))
 
 
+def rejection_report(sample: DataFrame, residual: Column, n: int) -> dict:
+    """The figures of rejections(), as they are shown beside a sample's result, with the warning where they call for it."""
+    r = rejections(sample, residual).first().asDict()
+    return r | {"warned": warn_if_rejecting(r["n_accepted"], r["n_attempted"], n)}
+
+
 def _percent(pct: float | None) -> float:
     if pct is None or not 0 <= pct <= 100:  # NaN fails the comparison too
         raise SampleError("sample percentage must be between 0 and 100")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import estimators as est
-from quern.operators import range_index, sampling
+from quern.operators import range_index, ranked, sampling
 from quern.sources.tables import table
 
 IDENTITY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -44,6 +46,23 @@ def q1_swr_with_ci(spark, sf_dir):
     return got.select(r2(F.col("s"), "sum_amount"), r2(F.col("sh"), "sum_half_ci"), F.round(F.col("sh") / F.col("s"), 6).alias("sum_rel_ci"), r2(F.col("c"), "cnt"), r2(F.col("ch"), "cnt_half_ci"), F.round(F.col("ch") / F.col("c"), 6).alias("cnt_rel_ci"))
 
 
+def q1_swr_count_column(spark, sf_dir):
+    """Estimated counts of a column that is null in part, and the half width of their interval."""
+    s = sampling.swr_sample(population(spark, sf_dir), SIZES["q1"], layout(), SEED)
+    cheap = F.when(F.col("l_discount") < 0.05, F.col("l_discount"))
+    return s.agg(r2(est.approx_count(cheap), "cnt"), r2(est.approx_count_half_ci(cheap, 0.95), "half"))
+
+
+def q1_swr_stored(spark, sf_dir):
+    """The same draws as q1_swr from rows stored in the order of their ranks: only files and pages with drawn rows are read."""
+    from quern.sources import scratch
+
+    path = f"{scratch.folder(spark)}/quern-ranked-{uuid.uuid4().hex}"
+    scratch.keep(path, spark)
+    stored = ranked.RankedTable.write(table(spark, sf_dir, "lineitem"), path, layout())
+    return stored.sample(SIZES["q1"], SEED, SINCE, UNTIL).agg(r2(est.approx_sum("l_extendedprice"), "sum_amount"), r2(est.approx_count(), "cnt"))
+
+
 def q1_bernoulli(spark, sf_dir):
     s = sampling.bernoulli_sample(table(spark, sf_dir, "lineitem"), PERCENT["q1"] * 10, IDENTITY, SEED)
     inside = s.where((F.col("l_shipdate") >= F.lit(SINCE).cast("timestamp")) & (F.col("l_shipdate") < F.lit(UNTIL).cast("timestamp")))
@@ -102,10 +121,13 @@ def relerr_q3(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("method", "c_mktsegment", F.round("err_sum_amount", 6).alias("err_sum_amount"), F.round("err_cnt", 6).alias("err_cnt"))
 
 
+#: Arguments on all three branches of the inverse error function: |y| up to 0.999, up to 1 - 1e-7, and above.
+GRID = (*(i / 100 for i in range(-95, 96)), *(s * (1 - 10.0**-k) for s in (-1, 1) for k in (3, 4, 6, 7, 8, 9)))
+
+
 def erf_inv_grid(spark, sf_dir):
-    """Inverse of values of the error function on all three branches: the argument comes back."""
-    grid = spark.range(-95, 96).select((F.col("id") / 100.0).alias("y"))
-    return grid.select(F.round("y", 2).alias("y"), F.round(est.erf_inv(F.col("y")), 9).alias("x"))
+    """Inverse of values of the error function on all three branches."""
+    return spark.createDataFrame([(y,) for y in GRID], "y double").select("y", F.round(est.erf_inv(F.col("y")), 9).alias("x"))
 
 
 def sample_probabilities(spark, sf_dir):
@@ -175,7 +197,7 @@ def range_summary_upsert(spark, sf_dir):
 
 
 QUERIES = (
-    q1_exact, q1_swr, q1_swr_with_ci, q1_bernoulli, q2_exact, q2_swr, q2_bernoulli, q3_exact, q3_swr, q3_bernoulli, background_sampler, relerr_q3, erf_inv_grid,
+    q1_exact, q1_swr, q1_swr_with_ci, q1_swr_count_column, q1_swr_stored, q1_bernoulli, q2_exact, q2_swr, q2_bernoulli, q3_exact, q3_swr, q3_bernoulli, background_sampler, relerr_q3, erf_inv_grid,
     sample_probabilities, rejection_metrics, system_blocks, system_rows, stratified_reservoir, sample_limits, sampling_throughput, range_summary, range_summary_query, range_summary_upsert,
 )
 
@@ -216,6 +238,8 @@ _BERNOULLI3 = _Q3.format(_bernoulli(PERCENT["q3"] * 10, _POP), _EST)
 ORACLE = {
     "q1_exact": f"SELECT round(sum(l_extendedprice), 2) AS sum_amount, count(*) AS cnt FROM {_POP} x",
     "q1_swr": f"SELECT {_EST} FROM {_swr(SIZES['q1'])} x",
+    "q1_swr_stored": f"SELECT {_EST} FROM {_swr(SIZES['q1'])} x",
+    "q1_swr_count_column": f"SELECT round(coalesce(sum(CASE WHEN l_discount < 0.05 THEN 1.0 / p END) / max(n), 0), 2) AS cnt, round({_half_ci('(CASE WHEN l_discount < 0.05 THEN 1.0 / p END)')}, 2) AS half FROM {_swr(SIZES['q1'])} x",
     "q1_swr_with_ci": f"""SELECT round(s, 2) AS sum_amount, round(sh, 2) AS sum_half_ci, round(sh / s, 6) AS sum_rel_ci, round(c, 2) AS cnt, round(ch, 2) AS cnt_half_ci, round(ch / c, 6) AS cnt_rel_ci FROM
         (SELECT sum(l_extendedprice / p) / max(n) AS s, {_half_ci('l_extendedprice / p')} AS sh, sum(1.0 / p) / max(n) AS c, {_half_ci('(1.0 / p)')} AS ch FROM {_swr(SIZES['q1_ci'])} x WHERE l_returnflag = 'R') y""",
     "q1_bernoulli": f"SELECT {_EST} FROM {_bernoulli(PERCENT['q1'] * 10, 'lineitem')} x WHERE l_shipdate >= TIMESTAMP '{SINCE}' AND l_shipdate < TIMESTAMP '{UNTIL}'",
@@ -230,7 +254,7 @@ ORACLE = {
         f"SELECT '{n}' AS method, c_mktsegment, round(abs(coalesce(a.sum_amount, 0) - e.sum_amount) / abs(e.sum_amount) * 100, 6) AS err_sum_amount, round(abs(coalesce(a.cnt, 0) - e.cnt) / e.cnt * 100, 6) AS err_cnt FROM ({_EXACT3}) e LEFT JOIN ({q}) a USING (c_mktsegment)"
         for n, q in (("swr", _SWR3), ("bernoulli", _BERNOULLI3))
     ),
-    "erf_inv_grid": "SELECT * FROM (VALUES " + ", ".join(f"({i / 100}::DOUBLE, {round(est.erf_inv_value(i / 100), 9)}::DOUBLE)" for i in range(-95, 96)) + ") AS t(y, x)",
+    "erf_inv_grid": "SELECT * FROM (VALUES " + ", ".join(f"({y!r}::DOUBLE, {round(est.erf_inv_value(y), 9)!r}::DOUBLE)" for y in GRID) + ") AS t(y, x)",
     "sample_probabilities": f"SELECT round(max(p), 9) AS p, round(max(1.0 / p), 4) AS inv_p, count(*) AS n FROM {_swr(50)} x",
     "rejection_metrics": f"SELECT count(*) AS n_attempted, count(*) FILTER (l_returnflag = 'R') AS n_accepted, round((count(*) - count(*) FILTER (l_returnflag = 'R')) * 100.0::DOUBLE / count(*), 4) AS rejection_pct FROM {_swr(1000, 'lineitem')} x",
     "system_blocks": f"SELECT count(*) AS cnt, count(DISTINCT l_orderkey) AS orders, round(count(*) / 0.25::DOUBLE, 2) AS estimate FROM lineitem WHERE {_bits(f"CAST(l_orderkey // 64 AS VARCHAR) || '|{SEED}'")} < {1 << 30}",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import aqp, relational, scalar, surfaces, tpch, updates
+from quern.plans import aqp, extras, relational, scalar, surfaces, tpch, updates
 
 FLAGSHIP = "q1_swr_with_ci"
-MODULES = (aqp, relational, scalar, surfaces, tpch, updates)
+MODULES = (aqp, extras, relational, scalar, surfaces, tpch, updates)
 
 
 def queries() -> dict:

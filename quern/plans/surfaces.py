@@ -24,7 +24,7 @@ def copy_round_trip(spark, sf_dir):
     path = _place(spark, "copy")
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment")
     tables.write_delimited(df, path)
-    return tables.read_delimited(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string", where="c_custkey < 700")
+    return tables.read_delimited(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string", where="c_custkey is not null")
 
 
 def partition_pruning(spark, sf_dir):
@@ -94,7 +94,7 @@ def user_scalar(spark, sf_dir):
     @pandas_udf("string")
     def initials(v: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in v:
-            yield s.str.split(" ").map(lambda w: "".join(x[0] for x in w) if w is not None else None)
+            yield s.str.findall(r"(?:^| )([^ ])").str.join("")
 
     return table(spark, sf_dir, "part").select("p_partkey", initials("p_name").alias("i"))
 
@@ -103,12 +103,12 @@ def user_table_function(spark, sf_dir):
     @udtf(returnType="word string, at int")
     class Words:
         def eval(self, text: str):
-            for i, w in enumerate(text.split(" ")):
+            for i, w in enumerate(text.split(" ") if text is not None else []):
                 yield w, i
 
     spark.udtf.register("words_of", Words)
     table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql("SELECT p_partkey, word, at FROM part, LATERAL words_of(p_name) WHERE p_partkey < 200")
+    return spark.sql("SELECT p_partkey, word, at FROM part, LATERAL words_of(p_name)")
 
 
 def xml_paths(spark, sf_dir):
@@ -150,7 +150,7 @@ def observed_metrics(spark, sf_dir):
 def inheritance(spark, sf_dir):
     """A parent with its children: rows of all, columns by name, absent ones null."""
     parent = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    child = table(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra"))
+    child = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra"))
     return parent.unionByName(child, allowMissingColumns=True)
 
 
@@ -171,7 +171,7 @@ QUERIES = (
 )
 
 ORACLE = {
-    "copy_round_trip": "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 700",
+    "copy_round_trip": "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer",
     "partition_pruning": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000",
     "point_lookup": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey IN (7, 77, 777)",
     "partitionwise_join": "SELECT o_orderkey AS k, o_orderpriority, sum(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
@@ -182,14 +182,14 @@ ORACLE = {
     "sql_function": "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS s FROM lineitem GROUP BY 1",
     "user_aggregate": "SELECT s_nationkey, round((sum(s_acctbal) - min(s_acctbal) - max(s_acctbal)) / (count(*) - 2), 4) AS t FROM supplier GROUP BY 1 HAVING count(*) > 2",
     "user_scalar": "SELECT p_partkey, array_to_string([w[1] for w in string_split(p_name, ' ')], '') AS i FROM part",
-    "user_table_function": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(0, len(string_split(p_name, ' '))))::INT AS at FROM part WHERE p_partkey < 200",
+    "user_table_function": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(0, len(string_split(p_name, ' '))))::INT AS at FROM part",
     "xml_paths": "SELECT 'y' AS s, 3.5::DOUBLE AS d, false AS c, 'x,y' AS l",
     "xml_table": "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(id, v)",
     "key_value_maps": "SELECT 'a,b,c' AS k, '2' AS b, false AS z, 4 AS n",
     "json_values": "SELECT CAST(json_extract('{\"a\": {\"b\": [1, 2, 30]}}', '$.a.b[2]') AS INT) AS x, true AS t, 3 AS n, '{\"i\":1,\"s\":\"s\"}' AS j",
     "row_values": "SELECT r_regionkey AS k, r_name AS n FROM region WHERE r_regionkey >= 2",
     "observed_metrics": "SELECT count(*) AS n, max(o_totalprice) AS m FROM orders",
-    "inheritance": "SELECT r_regionkey AS id, r_name AS name, NULL::INT AS extra FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 4",
+    "inheritance": "SELECT r_regionkey AS id, r_name AS name, NULL::INT AS extra FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "case_insensitive": "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'",
     "time_of_day": "SELECT strftime(TIMESTAMP '2024-01-31 10:00:00' + INTERVAL 1 MONTH + INTERVAL 3 DAY, '%Y-%m-%d %H:%M') AS later, '19:00' AS tokyo, CAST(epoch(TIMESTAMP '2024-01-31 10:00:00') AS BIGINT) AS e",
 }

@@ -92,3 +92,54 @@ def test_scalar_edges(spark):
     assert v(values.adjacent(r, s)) and not v(values.overlaps(r, s)) and v(values.before(r, s))
     assert v(values.range_empty(values.make_range(F.lit(5), F.lit(5))))
     assert v(values.json_set(F.lit('{"a":"1"}'), "b", F.lit("2"))) == '{"a":"1","b":"2"}'
+
+
+def test_merge(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    s = spark.createDataFrame([(2, "x"), (3, "y"), (None, "z")], "k int, v string")
+    got = sorted(map(tuple, ops.merge(t, s, ["k"], {"v": F.concat("t.v", "s.v")}).collect()), key=repr)
+    assert got == sorted([(1, "a", None), (2, "bx", "UPDATE"), (3, "y", "INSERT"), (None, "n", None), (None, "z", "INSERT")], key=repr)
+    assert ops.merge(t, s, ["k"], delete=F.col("s.v") == "x", insert=False).where("__action = 'DELETE'").count() == 1
+    with pytest.raises(Exception, match="more than once"):
+        ops.merge(t, s.union(s.where("k = 2")), ["k"], {"v": F.col("s.v")}).collect()
+
+
+def test_overlap_join_against_all_pairs(spark):
+    rows = [(i, (i * 37) % 100, (i * 37) % 100 + i % 9) for i in range(60)] + [(99, 5, 4)]
+    a, b = spark.createDataFrame(rows, "i int, lo int, hi int"), spark.createDataFrame([(i, x + 3, y + 3) for i, x, y in rows], "j int, lo2 int, hi2 int")
+    for width in (1.0, 7.0, 1000.0):
+        got = sorted((r["i"], r["j"]) for r in ops.overlap_join(a, b, ("lo", "hi"), ("lo2", "hi2"), width).collect())
+        assert got == sorted((i, j) for i, lo, hi in rows for j, x, y in rows if lo <= hi and x <= y and lo <= y + 3 and x + 3 <= hi)
+
+
+def test_text_queries(spark):
+    df = spark.createDataFrame([("the quick brown fox",), (None,), ("",)], "s string").withColumn("v", texts.to_tsvector(F.col("s")))
+    ask = lambda q: df.select(texts.ts_query(F.col("v"), q)).first()[0]
+    assert ask("quick & fox") and ask("quick <-> brown") and ask("quick <2> fox") and ask("quick <-> brown <-> fox") and ask("bro:* & !cat") and ask("!(cat | dog)")
+    assert not ask("quick <-> fox") and not ask("brown <-> quick") and not ask("cat | dog") and not ask("")
+    for bad in ("quick &", "(quick", "quick fox", "& quick", "(a & b) <-> c"):
+        with pytest.raises(ValueError):
+            ask(bad)
+
+
+def test_jdbc_pushes_filters_down(spark):
+    """The embedded database of the Java side, in memory, as the remote end."""
+    url, properties = "jdbc:derby:memory:remote;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("CAST(id AS INT) AS K", "CAST(id * 2 AS INT) AS V").write.jdbc(url, "T", mode="overwrite", properties=properties)
+    df = tables.read_jdbc(spark, url, "T", properties, "K", (0, 100), 4)
+    assert df.rdd.getNumPartitions() == 4
+    few = df.where("K < 7").select("V")
+    assert sorted(r["V"] for r in few.collect()) == list(range(0, 14, 2))
+    assert "LessThan(K,7)" in few._jdf.queryExecution().toString()
+
+
+def test_min_and_max_come_from_footers(spark, small):
+    from quern.plans import extras
+
+    assert "PushedAggregation: [MIN(o_orderkey), MAX(o_orderkey), COUNT(*)]" in extras.agg_min_max_footers(spark, small)._jdf.queryExecution().toString()
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode():
+    from quern.sources import scratch
+
+    assert scratch.LOCAL.fullmatch("local[8]") and scratch.LOCAL.fullmatch("local") and not scratch.LOCAL.fullmatch("local-cluster[3,1,1024]") and not scratch.LOCAL.fullmatch("spark://x:7077")

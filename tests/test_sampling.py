@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import estimators as est
-from quern.operators import range_index, sampling
+from quern.operators import range_index, ranked, sampling
 from quern.plans import sqlfront
 
 
@@ -170,3 +170,63 @@ def test_rejection_warning():
     with pytest.warns(UserWarning, match="rejected"):
         assert sampling.warn_if_rejecting(0, 5001, 5)
     assert not sampling.warn_if_rejecting(0, 5000, 5)
+
+
+def test_rejection_report(population):
+    s = sampling.swr_sample(population, 50, layout(), 1)
+    r = sampling.rejection_report(s, F.col("k") == 3, 50)
+    assert r["n_attempted"] == 50 and 0 < r["n_accepted"] < 50 and not r["warned"]
+
+
+def test_ranked_table_draws_the_same_and_reads_little(spark, population, tmp_path):
+    nulls = population.withColumn("k", F.when(F.col("id") % 9 > 0, F.col("k")))
+    stored = ranked.RankedTable.write(nulls, f"file://{tmp_path}/ranked", layout(), partitions=8)
+    for low, high in ((None, None), (2, 5), (0, None), (None, 3)):
+        part = nulls if low is None else nulls.where(F.col("k") >= low)
+        part = part if high is None else part.where((F.col("k") < high) | (F.col("k").isNull() & F.lit(low is None)))
+        a, b = sampling.swr_sample(part, 60, layout(), 6), stored.sample(60, 6, low, high)
+        assert a.columns == b.columns
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr), (low, high)
+    few = stored.sample(2, 1, 3, 4)
+    few.collect()
+    scan = few._jdf.queryExecution().executedPlan()
+    scan = (scan.finalPhysicalPlan() if "AdaptiveSparkPlan" in scan.nodeName() else scan).collectLeaves()
+    files = [scan.apply(i).metrics().apply("numFiles").value() for i in range(scan.size()) if scan.apply(i).metrics().contains("numFiles")]
+    assert len(spark.read.parquet(f"file://{tmp_path}/ranked/rows").inputFiles()) == 8 and 1 <= sum(files) <= 2
+    plan = few._jdf.queryExecution().toString()
+    assert "__at" in plan.partition("PushedFilters: [")[2].partition("ReadSchema")[0]
+    again = ranked.RankedTable(spark, f"file://{tmp_path}/ranked").sample(5, 2)
+    assert again.count() == 5 and stored.sample(0, 1).count() == 0
+    with pytest.warns(UserWarning, match="empty"):
+        assert stored.sample(5, 1, 50, 60).count() == 0
+    for bad in ((None, 1), (-1, 1), (1, None)):
+        with pytest.raises(sampling.SampleError):
+            stored.sample(*bad)
+
+
+@pytest.mark.parametrize(
+    ("where", "want"),
+    [
+        ("k < 5 OR k > 10", None), ("k < 5 OR q > 3", None), ("NOT k < 5", None), ("NOT (k < 5 AND q > 1)", None), ("k < 5", "k < 5"), ("(k < 5)", "k < 5"), ("q > 1 AND (k >= 2 AND k < 9)", "k >= 2 AND k < 9"),
+        ("k BETWEEN 2 AND 7 AND q BETWEEN 1 AND 3", "k BETWEEN 2 AND 7"), ("(k < 5 OR q = 1) AND k > 0", "k > 0"), ("k + 1 < 5 AND k < q AND k < 4", "k < 4"), ("q = 'k < 5 AND k > 2'", None),
+        ("t.k = 3 AND u.k = 4", "k = 3"), ("k < 5 AND k > (SELECT min(k) FROM u WHERE k < 3)", "k < 5"), ("CASE WHEN k < 3 THEN q > 1 AND k > 1 ELSE true END AND k < 6", "k < 6"), ("k >= DATE '2020-01-01' and K < timestamp '2021-01-01'", "k >= DATE '2020-01-01' AND k < timestamp '2021-01-01'"),
+    ],
+)
+def test_range_of_the_key(where, want):
+    assert sqlfront.key_range(where, "k", ("t",)) == want
+
+
+def test_sql_front_estimates_under_or_and_not(spark, population):
+    """What is no conjunct bounds no draw: estimates stay near the truth."""
+    population.createOrReplaceTempView("pop")
+    spark.range(400).selectExpr("id as other", "id % 3 as g").createOrReplaceTempView("others")
+    how = {"pop": sqlfront.SampledTable("id", layout(), "id div 10")}
+    for where in ("id < 100 OR id >= 300", "NOT id < 200", "id < 200 OR k = 1", "NOT (id < 100 AND k = 1)", "id < 300 AND (id > 200 OR k < 3)"):
+        got = sqlfront.sql(spark, f"SELECT approx_count(*) AS c FROM pop TABLESAMPLE SWR(4000) REPEATABLE(4) WHERE {where}", how).first()["c"]
+        assert got == pytest.approx(population.where(where).count(), rel=0.15), where
+    joined = sqlfront.sql(spark, "SELECT g, approx_count(*) AS c FROM others o JOIN pop AS p TABLESAMPLE SWR(3000) REPEATABLE(4) ON p.id = o.other WHERE p.id < 200 GROUP BY g ORDER BY g", how).collect()
+    assert [r["c"] for r in joined] == pytest.approx([67, 67, 66], rel=0.15)
+    assert sqlfront.sql(spark, "SELECT count(*) AS n FROM pop p TABLESAMPLE SYSTEM_TIME(600000)", how).first()["n"] == 400
+    with pytest.raises(ValueError, match="one table"):
+        sqlfront.sql(spark, "SELECT 1 FROM pop TABLESAMPLE SWR(1), pop TABLESAMPLE SWR(1)", how)
+    assert sqlfront.explain_plan(spark, "SELECT count(*) FROM pop TABLESAMPLE SWR(9) REPEATABLE(4)", how).startswith("Sampling: swr (9) REPEATABLE (4)\n")
