@@ -92,11 +92,12 @@ class Vocabulary:
         return self.pieces[i].replace(MARK, " ").encode()
 
     def as_unigram(self) -> Vocabulary:
-        """The same pieces as a unigram model: a piece's log probability falls with the logarithm of its rank by score."""
+        """The same pieces as a unigram model: a piece's log probability falls with the logarithm of its rank by score. It is
+        a multiple of 1/64, so that sums are exact, and a path's score doesn't depend on what comes before it."""
         normal = sorted((i for i, k in enumerate(self.kinds) if k == NORMAL), key=lambda i: -self.scores[i])
         scores = list(self.scores)
         for rank, i in enumerate(normal):
-            scores[i] = float(np.float32(-np.log(2.0 + rank)))
+            scores[i] = -float(int(np.log(2.0 + rank) * 64)) / 64
         return Vocabulary(UNIGRAM, self.pieces, scores, self.kinds, self.dummy_prefix)
 
     def normal(self, text: str) -> str:
