@@ -12,10 +12,13 @@ import hashlib
 import json
 import warnings
 from bisect import bisect_right
+from collections import Counter
+from datetime import date, datetime
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sampling import N, P, Layout, SampleError, row_digest
 
@@ -23,6 +26,16 @@ from .sampling import N, P, Layout, SampleError, row_digest
 PAGE_ROWS = 4000
 #: Places that go into the scan's own filter; beyond, folders alone are pruned, and the join finds the rows.
 FILTERED = 20_000
+#: Buckets up to which their index is on the driver; beyond, a job sums it for each sample.
+BUCKETS = 65_536
+
+
+def _day(x: object) -> date:
+    return x.date() if isinstance(x, datetime) else x if isinstance(x, date) else date.fromisoformat(str(x)[:10])
+
+
+#: How a bound becomes a value of the bucket's type, on the driver.
+VALUES = {T.DateType: _day, T.IntegerType: int, T.LongType: int, T.ShortType: int, T.StringType: str}
 
 
 class RankedTable:
@@ -34,7 +47,12 @@ class RankedTable:
         # One row for each folder, as many as the table has files.
         parts = sorted(tuple(r) for r in spark.read.parquet(f"{self.path}/parts").collect())
         self.parts, self.ends = [p for p, _ in parts], list(accumulate(n for _, n in parts))
-        self.buckets = spark.read.parquet(f"{self.path}/buckets").cache()
+        self.buckets = spark.read.parquet(f"{self.path}/buckets")
+        self.kind = self.buckets.schema["__b"].dataType
+        first = self.buckets.orderBy(F.col("__b").asc_nulls_first()).limit(BUCKETS + 1).collect() if type(self.kind) in VALUES else []
+        self.known = [tuple(r) for r in first] if 0 < len(first) <= BUCKETS else None
+        self.session = self._reader()
+        self.rows = self.session.read.parquet(f"{self.path}/rows")
 
     @classmethod
     def write(cls, df: DataFrame, path: str, layout: Layout, partitions: int | None = None) -> RankedTable:
@@ -42,7 +60,7 @@ class RankedTable:
         spark, path = df.sparkSession, path.rstrip("/")
         rows = df.withColumns({"__b": layout.bucket, "__h": row_digest(layout.identity)})
         rows = rows.repartitionByRange(*([partitions] if partitions else []), "__b", "__h").sortWithinPartitions("__b", "__h")
-        rows = rows.withColumns({"__p": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        rows = rows.withColumns({"__p": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})  # __at: (partition << 33) + place
         rows.drop("__h").write.partitionBy("__p").option("parquet.page.row.count.limit", str(PAGE_ROWS)).parquet(f"{path}/rows")
         stored = spark.read.parquet(f"{path}/rows")
         stored.groupBy("__b").agg(F.count(F.lit(1)).alias("c")).coalesce(1).write.parquet(f"{path}/buckets")
@@ -57,29 +75,46 @@ class RankedTable:
             raise SampleError("sample size must not be null or negative")
         if seed is None:
             raise SampleError("TABLESAMPLE REPEATABLE parameter cannot be null")
-        kind = self.buckets.schema["__b"].dataType
-        below = F.lit(False) if lower is None else F.coalesce(F.col("__b") < F.lit(lower).cast(kind), F.lit(True))  # a null bucket comes first
-        above = F.lit(False) if upper is None else F.coalesce(F.col("__b") >= F.lit(upper).cast(kind), F.lit(False))
-        inside = ~below & ~above
-        first, total = self.buckets.agg(F.sum(F.when(below, F.col("c")).otherwise(0)), F.sum(F.when(inside, F.col("c")).otherwise(0))).first()
-        first, total = first or 0, total or 0
+        first, total = self._range(lower, upper)
         if not total and n:
             warnings.warn("the range of the sample is empty", stacklevel=2)
         ranks = [first + int(hashlib.md5(f"{i}|{seed}".encode()).hexdigest()[:8], 16) * total // (1 << 32) for i in range(n if total else 0)]
-        places = [(self.parts[k], r - (self.ends[k - 1] if k else 0)) for r in ranks for k in (bisect_right(self.ends, r),)]
-        spark = self._reader()
-        rows = spark.read.parquet(f"{self.path}/rows").where(F.col("__p").isin(sorted({p for p, _ in places})))
-        if len(places) <= FILTERED:
-            rows = rows.where(F.col("__at").isin(sorted({a for _, a in places})))
-        draws = spark.createDataFrame(places, "__p int, __at long")
-        found = rows.join(F.broadcast(draws), ["__p", "__at"])  # n rows
-        return found.select(*self.columns, F.lit(1.0 / max(total, 1)).alias(P), F.lit(float(n)).alias(N))
+        places = [(self.parts[k] << 33) + r - (self.ends[k - 1] if k else 0) for r in ranks for k in (bisect_right(self.ends, r),)]
+        rows, columns = self.rows.where(f"__p IN ({_list({a >> 33 for a in places})})"), (F.lit(1.0 / max(total, 1)).alias(P), F.lit(float(n)).alias(N))
+        if len(places) > FILTERED:
+            draws = self.session.createDataFrame([(a,) for a in places], "__at long")
+            return rows.join(F.broadcast(draws), "__at").select(*self.columns, *columns)  # n rows
+        # A row that is drawn several times comes as often: few are, and they are named.
+        often: dict[int, list[int]] = {}
+        for a, k in Counter(places).items():
+            often.setdefault(k, []).append(a)
+        found, repeated = rows.where(f"__at IN ({_list(places)})"), {k: v for k, v in often.items() if k > 1}
+        if repeated:
+            times = "CASE " + " ".join(f"WHEN __at IN ({_list(v)}) THEN {k}" for k, v in repeated.items()) + " ELSE 1 END"
+            found = found.withColumn("__time", F.explode(F.expr(f"sequence(1, {times})")))
+        return found.select(*self.columns, *columns)
+
+    def _range(self, lower: object | None, upper: object | None) -> tuple[int, int]:
+        """The rows before a range of buckets, and those in it; a null bucket comes first."""
+        if self.known is not None:
+            convert = VALUES[type(self.kind)]
+            low, high = (None if x is None else convert(x) for x in (lower, upper))
+            before = sum(c for b, c in self.known if low is not None and (b is None or b < low))
+            return before, sum(c for b, c in self.known if (low is None or b is not None and b >= low) and (high is None or b is None or b < high))
+        below = F.lit(False) if lower is None else F.coalesce(F.col("__b") < F.lit(lower).cast(self.kind), F.lit(True))
+        above = F.lit(False) if upper is None else F.coalesce(F.col("__b") >= F.lit(upper).cast(self.kind), F.lit(False))
+        first, total = self.buckets.agg(F.sum(F.when(below, F.col("c")).otherwise(0)), F.sum(F.when(~below & ~above, F.col("c")).otherwise(0))).first()
+        return first or 0, total or 0
 
     def _reader(self) -> SparkSession:
-        """A session whose scans take long lists as page filters."""
+        """A session whose scans take long lists as page filters, and whose plans don't copy these lists."""
         session = self.spark.newSession()
-        for key, value in (("spark.sql.parquet.pushdown.inFilterThreshold", str(FILTERED)), ("spark.sql.optimizer.inSetSwitchThreshold", "0")):
+        for key, value in (("spark.sql.parquet.pushdown.inFilterThreshold", str(FILTERED)), ("spark.sql.constraintPropagation.enabled", "false")):
             session.conf.set(key, value)
-        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone"):
             session.conf.set(key, self.spark.conf.get(key))
         return session
+
+
+def _list(numbers) -> str:
+    return ", ".join(f"{x}L" for x in sorted(set(numbers))) or "NULL"
