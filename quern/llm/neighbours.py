@@ -7,8 +7,9 @@ stops as soon as the k-th best distance found passes the test: had there been a
 have come up by now with probability CONFIDENCE.
 
 Distribution. The upper levels of the kd-tree are fitted to a bounded sample and deal all vectors into cells; a cell
-with too many rows, as many equal vectors make it, is split further by a hash. Each cell has the lower levels as a tree
-of its own. A query is first answered in its own cell, which gives it a radius; then only in the cells whose box is
+with too many rows gets further levels, fitted on the executors to a sample of its own, so that cells stay small as the
+table grows; what no coordinate can part, as many equal vectors, is split by a hash. Each cell has the lower levels as a
+tree of its own. A query is first answered in its own cell, which gives it a radius; then only in the cells whose box is
 within the radius that the chi-square test allows. A query that is near nothing visits more cells, never fewer than the
 test asks for.
 """
@@ -33,6 +34,8 @@ PROJECTED, CONFIDENCE, LEAF = 8, 0.99, 128
 #: Rows of a cell, rows that fit the upper levels, and the most cells those levels make (their boxes are broadcast: 128
 #: bytes each).
 CELL, SAMPLE, CELLS = 8192, 20_000, 4096
+#: Rows of a cell, on average, that fit its own levels, and the most of these levels: cuts of all cells have 16 MB at most.
+FIT, DEEPER = 4096, 8
 
 #: More than rounding can move a projection, as a share of its size: vectors as near as the test allows stay candidates.
 SLACK = 1e-9
@@ -142,33 +145,68 @@ def _search(base: DataFrame, wanted: DataFrame | None, dim: int, k: int, confide
     placed = asked.mapInArrow(lambda b: _place(b, cuts, projected), f"id long, vector binary, point binary, asks boolean, cell int, {coordinates}")
     placed = scratch.save(placed, "placed")
     scratch.drop(points)
-    bounds = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("splits"), *(f(f"p{i}").alias(f"{n}{i}") for i in range(projected) for n, f in (("lo", F.min), ("hi", F.max))))
-    bounds = scratch.save(bounds, "bounds")  # CELLS rows at most
-    split = F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")
-    dealt = placed.join(F.broadcast(bounds.select("cell", "splits")), "cell").withColumn("split", split)
-    rows = dealt.select("cell", "split", "id", "vector", "point", F.coalesce("asks", F.lit(False)).alias("asks"), F.lit(float("inf")).alias("radius"), F.lit(True).alias("member"))
+    box = [f(f"p{i}").alias(f"{n}{i}") for i in range(projected) for n, f in (("lo", F.min), ("hi", F.max))]
+    top = scratch.save(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *box), "cells")  # CELLS rows at most
+    full = {r["cell"]: r["n"] for r in top.where(F.col("n") > cell_rows).select("cell", "n").collect()}
+    deeper = _deeper(placed, top, full, projected, cell_rows) if full else {}
+    parted = placed.mapInArrow(lambda b: _part(b, deeper, projected), f"id long, vector binary, point binary, asks boolean, cell int, {coordinates}, sub int") if deeper else placed.withColumn("sub", F.lit(0))
+    parted = scratch.save(parted, "parted") if deeper else parted
+    bounds = scratch.save(parted.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("splits"), *box), "bounds")
+    hot = bounds.where("splits > 1").select("cell", "sub", "splits")
+    splits = F.coalesce("splits", F.lit(1))
+    dealt = parted.join(hot, ["cell", "sub"], "left").withColumn("split", F.pmod(F.xxhash64("id"), splits).cast("int"))
+    at = ["cell", "sub", "split"]
+    rows = dealt.select(*at, "id", "vector", "point", F.coalesce("asks", F.lit(False)).alias("asks"), F.lit(float("inf")).alias("radius"), F.lit(True).alias("member"))
     widen = chi_square_quantile(confidence, projected)
     answer = lambda t: _answer(t, dim, kind, projected, k, widen)
-    first = scratch.save(rows.groupBy("cell", "split").applyInArrow(answer, FOUND), "first")
+    first = scratch.save(rows.groupBy(*at).applyInArrow(answer, FOUND), "first")
     radius = first.groupBy("query_id").agg(F.when(F.count("vec_id") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("found"))
     asking = dealt.where("asks").join(radius, F.col("id") == F.col("query_id"), "left").withColumn("radius", F.coalesce("found", F.lit(float("inf"))))
-    located = asking.select("id", "vector", "point", "radius", F.col("cell").alias("home"), F.col("split").alias("home_split"), *(f"p{i}" for i in range(projected)))
+    located = asking.select("id", "vector", "point", "radius", F.struct(*at).alias("home"), *(f"p{i}" for i in range(projected)))
     gap = [F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"p{i}"), F.col(f"p{i}") - F.col(f"hi{i}")) for i in range(projected)]
-    # A stated query set against a bounded number of boxes: each query keeps the cells that its test can't rule out.
     size = sum((F.abs(f"p{i}") for i in range(projected)), F.lit(0.0))
-    apart = sum((g * g for g in gap), F.lit(0.0))
-    visits = located.join(F.broadcast(bounds), F.sqrt(apart) <= F.col("radius") * math.sqrt(widen) + size * SLACK)
-    visits = visits.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).where("cell <> home or split <> home_split")
-    visits = scratch.save(visits.select("cell", "split", "id", "vector", "point", F.lit(True).alias("asks"), "radius", F.lit(False).alias("member")), "visits")
-    visited = visits.select("cell", "split").distinct()
-    hosts = rows.withColumn("asks", F.lit(False)).join(visited, ["cell", "split"], "left_semi").select(rows.columns)
-    second = hosts.union(visits).groupBy("cell", "split").applyInArrow(answer, FOUND)
+    reached = F.sqrt(sum((g * g for g in gap), F.lit(0.0))) <= F.col("radius") * math.sqrt(widen) + size * SLACK
+    # A stated query set against a bounded number of boxes; then only the parts of the cells that its test can't rule out.
+    met = located.join(F.broadcast(top.drop("n")), reached).select(*located.columns, "cell")
+    visits = met.join(bounds, "cell").where(reached).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).where(F.struct(*at) != F.col("home"))
+    visits = scratch.save(visits.select(*at, "id", "vector", "point", F.lit(True).alias("asks"), "radius", F.lit(False).alias("member")), "visits")
+    hosts = rows.withColumn("asks", F.lit(False)).join(visits.select(*at).distinct(), at, "left_semi").select(rows.columns)
+    second = hosts.union(visits).groupBy(*at).applyInArrow(answer, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = scratch.save(first.union(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
-    scratch.drop(placed, bounds, first, visits)
+    scratch.drop(placed, parted, top, bounds, first, visits)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _deeper(placed: DataFrame, top: DataFrame, full: dict[int, int], projected: int, cell_rows: int) -> dict[int, Cuts]:
+    """Further levels of each cell with too many rows, fitted to a sample of about FIT rows of it."""
+    levels = {cell: min(DEEPER, math.ceil(math.log2(n / cell_rows))) for cell, n in full.items()}
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        cuts = Cuts(vectors.rows_of(t["point"], projected), levels[key[0].as_py()])
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "axis": pa.array([cuts.axis.tobytes()], pa.binary()), "value": pa.array([cuts.value.tobytes()], pa.binary())})
+
+    every = F.ceil(F.col("n") / FIT)
+    some = placed.select("cell", "id", "point").join(F.broadcast(top.where(F.col("n") > cell_rows).select("cell", "n")), "cell").where(F.pmod(F.xxhash64("id", F.lit(5)), every) == 0)
+    out = {}
+    for r in some.groupBy("cell").applyInArrow(fit, "cell int, axis binary, value binary").collect():  # 16 MB at most
+        cuts = Cuts(np.empty((0, projected)), levels[r["cell"]])
+        cuts.axis, cuts.value = np.frombuffer(r["axis"], np.int64), np.frombuffer(r["value"], np.float64)
+        out[r["cell"]] = cuts
+    return out
+
+
+def _part(batches: Iterator[pa.RecordBatch], deeper: dict[int, Cuts], projected: int) -> Iterator[pa.RecordBatch]:
+    """The number of each row's part of its cell."""
+    for b in batches:
+        points, cell = vectors.rows_of(b["point"], projected), b["cell"].to_numpy()
+        sub = np.zeros(len(cell), np.int32)
+        for c in np.unique(cell).tolist():
+            if c in deeper:
+                sub[cell == c] = deeper[c].cell(points[cell == c])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sub, pa.int32())], names=[*b.schema.names, "sub"])
+
+
 def _project(batches: Iterator[pa.RecordBatch], dim: int, kind: type, directions: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, good = vectors.matrix(b["vector"], dim)

@@ -41,10 +41,13 @@ def test_embedding_duplicates_edges(spark):
         embedding_duplicates(df, cosine=1.5)
 
 
-def test_nearest_neighbours_recall(spark, small):
+@pytest.mark.parametrize("cells", [4096, 2])
+def test_nearest_neighbours_recall(spark, small, monkeypatch, cells):
+    """With few cells of the first levels these get levels of their own."""
+    monkeypatch.setattr(neighbours, "CELLS", cells)
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     got: dict = {}
-    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), cell_rows=100).collect():
+    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), cell_rows=100 if cells > 2 else 20).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     rows = sorted((i, v) for i, v in rows if fx.usable(v, 64))
