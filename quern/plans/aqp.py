@@ -64,7 +64,7 @@ def q1_swr_stored(spark, sf_dir):
 
 
 def q1_bernoulli(spark, sf_dir):
-    s = sampling.bernoulli_sample(table(spark, sf_dir, "lineitem"), PERCENT["q1"] * 10, IDENTITY, SEED)
+    s = sampling.bernoulli_sample(table(spark, sf_dir, "lineitem"), PERCENT["q1"], IDENTITY, SEED)
     inside = s.where((F.col("l_shipdate") >= F.lit(SINCE).cast("timestamp")) & (F.col("l_shipdate") < F.lit(UNTIL).cast("timestamp")))
     return inside.agg(r2(est.approx_sum("l_extendedprice"), "sum_amount"), r2(est.approx_count(), "cnt"))
 
@@ -84,7 +84,7 @@ def q2_swr(spark, sf_dir):
 
 
 def q2_bernoulli(spark, sf_dir):
-    s = sampling.bernoulli_sample(population(spark, sf_dir), PERCENT["q2"] * 10, IDENTITY, SEED)
+    s = sampling.bernoulli_sample(population(spark, sf_dir), PERCENT["q2"], IDENTITY, SEED)
     return _outliers(spark, sf_dir, s.agg(F.avg("l_extendedprice").alias("a")))
 
 
@@ -105,7 +105,7 @@ def q3_swr(spark, sf_dir):
 
 
 def q3_bernoulli(spark, sf_dir):
-    s = sampling.bernoulli_sample(population(spark, sf_dir), PERCENT["q3"] * 10, IDENTITY, SEED)
+    s = sampling.bernoulli_sample(population(spark, sf_dir), PERCENT["q3"], IDENTITY, SEED)
     return _segments(spark, sf_dir, s).agg(r2(est.approx_sum("l_extendedprice"), "sum_amount"), r2(est.approx_count(), "cnt"))
 
 
@@ -233,7 +233,7 @@ _OUTLIERS = f"SELECT l_orderkey, l_linenumber, l_extendedprice FROM {_POP} x WHE
 _Q3 = "SELECT c_mktsegment, {1} FROM " + _JOINED + " GROUP BY c_mktsegment"
 _EXACT3 = _Q3.format(_POP, "round(sum(l_extendedprice), 2) AS sum_amount, count(*) AS cnt")
 _SWR3 = _Q3.format(_swr(SIZES["q3"]), _EST + f", round({_half_ci('l_extendedprice / p')}, 2) AS sum_half_ci")
-_BERNOULLI3 = _Q3.format(_bernoulli(PERCENT["q3"] * 10, _POP), _EST)
+_BERNOULLI3 = _Q3.format(_bernoulli(PERCENT["q3"], _POP), _EST)
 
 ORACLE = {
     "q1_exact": f"SELECT round(sum(l_extendedprice), 2) AS sum_amount, count(*) AS cnt FROM {_POP} x",
@@ -242,10 +242,10 @@ ORACLE = {
     "q1_swr_count_column": f"SELECT round(coalesce(sum(CASE WHEN l_discount < 0.05 THEN 1.0 / p END) / max(n), 0), 2) AS cnt, round({_half_ci('(CASE WHEN l_discount < 0.05 THEN 1.0 / p END)')}, 2) AS half FROM {_swr(SIZES['q1'])} x",
     "q1_swr_with_ci": f"""SELECT round(s, 2) AS sum_amount, round(sh, 2) AS sum_half_ci, round(sh / s, 6) AS sum_rel_ci, round(c, 2) AS cnt, round(ch, 2) AS cnt_half_ci, round(ch / c, 6) AS cnt_rel_ci FROM
         (SELECT sum(l_extendedprice / p) / max(n) AS s, {_half_ci('l_extendedprice / p')} AS sh, sum(1.0 / p) / max(n) AS c, {_half_ci('(1.0 / p)')} AS ch FROM {_swr(SIZES['q1_ci'])} x WHERE l_returnflag = 'R') y""",
-    "q1_bernoulli": f"SELECT {_EST} FROM {_bernoulli(PERCENT['q1'] * 10, 'lineitem')} x WHERE l_shipdate >= TIMESTAMP '{SINCE}' AND l_shipdate < TIMESTAMP '{UNTIL}'",
+    "q1_bernoulli": f"SELECT {_EST} FROM {_bernoulli(PERCENT['q1'], 'lineitem')} x WHERE l_shipdate >= TIMESTAMP '{SINCE}' AND l_shipdate < TIMESTAMP '{UNTIL}'",
     "q2_exact": _OUTLIERS.format(_POP),
     "q2_swr": _OUTLIERS.format(_swr(SIZES["q2"])),
-    "q2_bernoulli": _OUTLIERS.format(_bernoulli(PERCENT["q2"] * 10, _POP)),
+    "q2_bernoulli": _OUTLIERS.format(_bernoulli(PERCENT["q2"], _POP)),
     "q3_exact": _EXACT3,
     "q3_swr": _SWR3,
     "q3_bernoulli": _BERNOULLI3,
